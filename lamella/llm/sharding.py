@@ -67,11 +67,11 @@ def differencing(sizes: np.ndarray, k: int, loaded: np.ndarray | None = None) ->
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, run: int = RUN) -> DataFrame:
     """All rows: doc_id, size, text_crc32, text_md5, shard, slot."""
     spark = docs.sparkSession
-    parts = min(4096, shuffle_partitions(spark))
     t = text_or_empty(text_col)
     rows = materialize(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(t) + F.lit(OVERHEAD)).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.md5(t.cast("binary")).alias("text_md5"), F.monotonically_increasing_id().alias("u")))
     groups = rows.groupBy("text_md5").agg(F.sum("size").alias("size"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total, n_groups = groups.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    parts = max(1, min(4096, shuffle_partitions(spark), n_groups // (100 * shards)))  # enough groups in each to level it
     share = total / shards
     hot = groups.filter(F.col("size") > share).collect()  # fewer than shards
     chunk = F.lit(0)
