@@ -7,6 +7,11 @@ and cut into tiles; tile pairs whose counts differ by more than the radius are s
 are pairs that are one component already; the others are compared whole by exclusive or and bit counts. A bucket gives
 one edge for each value at most (to its local root), and star contraction joins the edges into components.
 
+``deduplicate`` links by similarity instead: wide fingerprints (``LANES`` x 64 bits, shingles of five words) whose
+differing bits estimate the angle between the shingle sets, and so their Jaccard similarity. Such radii leave no block
+to agree in, so all tile pairs are compared but those that population counts rule out: chunks sorted by the population
+count of the first 64 bits, a row for each pair of chunks, and in it tiles; a pair's first 64 bits are compared first.
+
 Defined results: null text is empty text; texts without words have fingerprint zero and link like any other; repeated
 rows share a fingerprint and a component; a null id never names a component that has another id; an empty table gives
 an empty result; input columns of any name are carried in one struct and cannot clash.
@@ -19,7 +24,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -120,16 +126,8 @@ def link_sorted(bucket: np.ndarray, fp: np.ndarray, radius: int = RADIUS, tile:
             i, j = i[keep] + a, j[keep] + b
             if not len(i):
                 continue
-            while True:  # roots of both ends, until no link joins two of them
-                x, y = parent[i], parent[j]
-                while (step := parent[x] != x).any() or (parent[y] != y).any():
-                    x, y = parent[x], parent[y]
-                open_ = x != y
-                if not open_.any():
-                    break
-                i, j, lo, hi = i[open_], j[open_], np.minimum(x, y)[open_], np.maximum(x, y)[open_]
-                np.minimum.at(parent, hi, lo)
-    while (step := parent[parent] != parent).any():  # noqa: F841
+            _union(parent, i, j)
+    while (parent[parent] != parent).any():
         parent = parent[parent]
     return parent
 
@@ -166,6 +164,151 @@ def _link(radius: int, tile: int):
     return run
 
 
+LANES, CHUNK = 4, 8192
+_ODD = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+
+
+def wide_fingerprint(text: str | None, words: int) -> bytes:
+    """LANES fingerprints side by side, of the shingles' hashes and of LANES - 1 mixtures of them; little-endian."""
+    hashes = np.array(shingle_hashes(text, words), dtype="<u8")
+    out = []
+    for lane in range(LANES):
+        if not len(hashes):
+            out.append(np.zeros(8, dtype=np.uint8))
+            continue
+        h = hashes
+        if lane:
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(_ODD[lane - 1])
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(_ODD[0])
+            h = (h ^ (h >> np.uint64(32))).astype("<u8")
+        ones = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(h), HELD):
+            ones += np.unpackbits(h[at : at + HELD].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(2 * ones > len(h), bitorder="little"))
+    return np.concatenate(out).tobytes()
+
+
+def radii(similarity: float) -> tuple[int, int]:
+    """Most differing bits of the first 64 and of all bits for two sets of that Jaccard similarity: the expected number
+    by the angle of the sets, and three deviations more for the first 64, half a one more for all."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    n = 64 * LANES
+    return int(64 * share + 3 * np.sqrt(64 * share * (1 - share))), int(n * share + 0.5 * np.sqrt(n * share * (1 - share)))
+
+
+def _union(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    while len(i):
+        x, y = parent[i], parent[j]
+        while (parent[x] != x).any() or (parent[y] != y).any():
+            x, y = parent[x], parent[y]
+        open_ = x != y
+        i, j, lo, hi = i[open_], j[open_], np.minimum(x, y)[open_], np.maximum(x, y)[open_]
+        np.minimum.at(parent, hi, lo)
+
+
+def link_chunks(a: np.ndarray, b: np.ndarray | None, first: int, whole: int, tile: int = TILE) -> np.ndarray:
+    """a, b: rows of LANES unsigned words, sorted by population count of the first. b None: a with itself. The place of each row's root, rows of a before those of b."""
+    both = a if b is None else np.concatenate([a, b])
+    at = 0 if b is None else len(a)
+    y = a if b is None else b
+    pops, y_pops = np.bitwise_count(a[:, 0]).astype(np.int64), np.bitwise_count(y[:, 0]).astype(np.int64)
+    parent = np.arange(len(both))
+    for s in range(0, len(a), tile):
+        lo, hi = np.searchsorted(y_pops, [pops[s] - first, pops[min(s + tile, len(a)) - 1] + first + 1])
+        lo = max(int(lo), s) if b is None else int(lo)
+        i, j = np.nonzero(np.bitwise_count(a[s : s + tile, :1] ^ y[None, lo:hi, 0]) <= first)
+        i, j = i + s, j + lo
+        near = np.bitwise_count(a[i] ^ y[j]).sum(axis=1, dtype=np.int64) <= whole
+        _union(parent, i[near], j[near] + at)
+    while (parent[parent] != parent).any():
+        parent = parent[parent]
+    return parent
+
+
+def _pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows node, wide, sorted; a row for each CHUNK of them."""
+    number = TaskContext.get().partitionId() << 32
+    nodes: list[np.ndarray] = []
+    wides: list[bytes] = []
+
+    def out(k: int) -> pa.RecordBatch:
+        nonlocal number, nodes, wides
+        all_nodes = np.concatenate(nodes)
+        raw = b"".join(wides[:k])
+        pops = np.bitwise_count(np.frombuffer(raw, dtype="<u8").reshape(-1, LANES)[:, 0])
+        row = pa.RecordBatch.from_arrays(
+            [pa.array([number]), pa.array([int(pops.min())]), pa.array([int(pops.max())]), pa.array([all_nodes[:k].astype("<i8").tobytes()]), pa.array([raw])], names=["chunk", "least", "most", "nodes", "wides"]
+        )
+        number, nodes, wides = number + 1, [all_nodes[k:]], wides[k:]
+        return row
+
+    for batch in batches:
+        nodes.append(batch.column(0).to_numpy())
+        wides.extend(batch.column(1).to_pylist())
+        while len(wides) >= CHUNK:
+            yield out(CHUNK)
+    if wides:
+        yield out(len(wides))
+
+
+def _link_chunks(first: int, whole: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                na, wa, nb, wb = (batch.column(c)[r].as_py() for c in range(4))
+                nodes = [np.frombuffer(x, dtype="<i8") for x in (na, nb) if x is not None]
+                wide = [np.frombuffer(x, dtype="<u8").reshape(-1, LANES) for x in (wa, wb) if x is not None]
+                root = link_chunks(wide[0], wide[1] if len(wide) > 1 else None, first, whole)
+                node = np.concatenate(nodes)
+                own = root != np.arange(len(root))
+                yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[root[own]])], names=["a", "b"])
+
+    return run
+
+
+def similar_links(values: DataFrame, similarity: float) -> DataFrame:
+    """values: node (long), wide (binary), distinct. Edges a, b whose contraction has the components of all similar pairs."""
+    first, whole = radii(similarity)
+    parts = max(1, values.count() // CHUNK)
+    pop = F.bit_count(F.conv(F.hex(F.substring("wide", 1, 4)), 16, 10).cast("long")) + F.bit_count(F.conv(F.hex(F.substring("wide", 5, 4)), 16, 10).cast("long"))
+    dealt = values.withColumn("pop", pop).repartitionByRange(parts, "pop", "node").sortWithinPartitions("pop", "node")
+    chunks = materialize(dealt.select("node", "wide").mapInArrow(_pack_chunks, "chunk long, least long, most long, nodes binary, wides binary"))
+    # which chunks meet: by their population counts, at most 65 of them, so that this stays an equi-join on small rows
+    span = chunks.select("chunk", "least", "most")
+    reach = span.select(F.col("chunk").alias("c1"), F.col("most").alias("most1"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("least") - first), F.least(F.lit(64), F.col("most") + first))).alias("pop"))
+    holds = span.select(F.col("chunk").alias("c2"), F.explode(F.sequence("least", "most")).alias("pop"))
+    pairs = reach.join(holds, "pop").filter("c1 <= c2").select("c1", "c2").distinct()
+    left = chunks.select(F.col("chunk").alias("c1"), F.col("nodes").alias("na"), F.col("wides").alias("wa"))
+    right = chunks.select(F.col("chunk").alias("c2"), F.col("nodes").alias("nb"), F.col("wides").alias("wb"))
+    met = pairs.join(left, "c1").join(right, "c2")
+    own = F.col("c1") == F.col("c2")
+    spread = met.repartition(F.xxhash64("c1", "c2"))
+    return spread.select("na", "wa", F.when(~own, F.col("nb")).alias("nb"), F.when(~own, F.col("wb")).alias("wb")).mapInArrow(_link_chunks(first, whole), "a long, b long")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each component of similar texts, that of the smallest id (then of the least hash of the text), with
+    the columns of docs; of rows equal in id and text, one."""
+
+    @F.pandas_udf("binary")
+    def wide(texts: pd.Series) -> pd.Series:
+        return pd.Series([wide_fingerprint(x, words) for x in texts])
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = lambda df: df.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("th"), F.col(text_col).alias("t"))
+    rows = materialize(key(docs).select("id", "th", wide("t").alias("wide")))
+    values = materialize(rows.groupBy("wide").agg(F.min(F.struct("id", "th")).alias("first")).withColumn("node", F.xxhash64("wide")))
+    of = components(similar_links(values.select("node", "wide"), similarity)).filter("node <> root")
+    roots = values.join(of, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("keep"))
+    keep = materialize(roots.select("keep.id", "keep.th"))
+    times = rows.groupBy("id", "th").count()
+    keep = keep.join(times, ["id", "th"])
+    kept = key(docs).drop("t").join(keep, ["id", "th"])
+    once = kept.filter(F.col("count") == 1).select("row")
+    again = kept.filter(F.col("count") > 1).dropDuplicates(["id", "th"]).select("row")
+    return once.unionByName(again).select("row.*")
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
