@@ -1,5 +1,57 @@
-"""placeholder until the stages exist"""
-STAGES = []
+"""A corpus pipeline in five stages, each over all that the one before it kept.
+
+Stages take (spark, docs, sf_dir); every result is written as Parquet and read again as the next stage's docs. All but
+the last return the columns of docs. Null texts count as empty in each stage; empty tables pass through.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lamella.llm import exact_dedup, mixing, packing, simhash, toxicity
+from lamella.llm.common import materialize
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that score 0.5 or more; the field is trained on the training folds of labels, over these docs."""
+    return toxicity.reject(docs, toxicity.trained_on_folds(spark, docs, sf_dir))
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each group of texts equal without white space."""
+    return exact_dedup.deduplicate(docs)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each SimHash component, with links checked at the shingles' similarity."""
+    return simhash.deduplicate(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops, keeps or repeats rows so that the sources' words come to their targets."""
+    return mixing.mix(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces and their places in sequences of at most 2048 tokens."""
+    return packing.pack(docs, packing.default_tokenizer())
+
+
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("exact_dedup", exact_dedup_stage),
+    ("near_dedup", near_dedup_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: SQL cannot express the trained field, the fingerprints or the packing; tests/llm holds run() against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return docs
