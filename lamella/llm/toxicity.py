@@ -32,7 +32,7 @@ from lamella.llm.common import table
 
 SLOTS = 1 << 18
 PREFIXES = (3, 4, 5)
-MAX_CHAIN, MAX_TRAIN_TOKENS, MAX_TOXIC, MAX_CLEAN = 64, 2048, 2000, 3000
+MAX_CHAIN, MAX_TRAIN_TOKENS, MAX_TOXIC, MAX_CLEAN = 64, 1024, 1000, 1500
 PIECE = 1 << 21  # bytes looked at together
 SPAN, MARGIN, LEAST_ODDS, LEAST_DOCS = 0.5, 1.0, 2.0, 3
 _LETTER = np.zeros(256, dtype=bool)
@@ -133,7 +133,7 @@ class Crf:
 def train_crf(features: np.ndarray, chain: np.ndarray, labels: np.ndarray, rounds: int = 30, l2: float = 1e-3, rate: float = 0.5) -> Crf:
     """Maximum likelihood by AdaGrad over all chains at once."""
     used, local = np.unique(features, return_inverse=True)
-    local = local.reshape(features.shape)
+    local = local.reshape(features.shape).astype(np.int32)
     w, rest = np.zeros(len(used)), np.array([-3.0, 0.0, 1.0, 0.0, 0.0, 1.0])  # bias, begin, trans
     gw, gr = np.full(len(used), 1e-6), np.full(6, 1e-6)
     y = labels.astype(float)
@@ -169,7 +169,7 @@ def witnesses(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.nd
     odds = np.full(features.shape[1], -np.inf)
     n_pos, n_neg = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     for row in features:
-        seen = np.unique(row * len(toxic) + doc)
+        seen = np.unique(row.astype(np.int64) * len(toxic) + doc)
         slot, of = seen // len(toxic), toxic[seen % len(toxic)]
         pos, neg = np.bincount(slot, weights=of, minlength=SLOTS), np.bincount(slot, weights=1 - of, minlength=SLOTS)
         lo = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
@@ -293,7 +293,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(F.broadcast(ids), "id").select("id", "y", "t")
     rows = found.mapInArrow(featurize, "id long, y int, f binary, c binary").groupBy("id").agg(F.min(F.struct("y", "f", "c")).alias("x")).select("id", "x.*").toPandas().sort_values("id")
-    features = [np.frombuffer(x, dtype="<i4").reshape(1 + len(PREFIXES), -1).astype(np.int64) for x in rows["f"]]
+    features = [np.frombuffer(x, dtype="<i4").reshape(1 + len(PREFIXES), -1) for x in rows["f"]]
     return fit(features, [np.frombuffer(x, dtype="<i4").astype(np.int64) for x in rows["c"]], rows["y"].to_numpy(dtype=np.int64))
 
 
