@@ -2,18 +2,19 @@
 
 Tokens are runs of letters (ASCII letters in lower case, and any byte above 127); a chain is a sentence, cut after each
 ``MAX_CHAIN`` tokens. Token labels come from document labels: in a toxic document the witnesses are the tokens whose
-best feature (the word, or its first 3, 4 or 5 bytes) tells toxic from clean documents about as well as the document's
-best one does. The field has two states with emissions from the same hashed features and a full transition matrix, and
+best feature (the word, or its first 3, 4 or 5 bytes), found in at least ``LEAST_SHARE`` of the toxic documents, tells
+toxic from clean documents about as well as the document's best one does. The field has two states with emissions from the same hashed features and a full transition matrix, and
 is trained by maximum likelihood. Forward-backward marginals then give each token's chance of being toxic; spans are
 runs of tokens at or above ``SPAN``, in characters of the original text; the document score is a logistic function of
-the largest marginal and the expected number of toxic tokens.
+the two largest marginals and the expected number of toxic tokens, both over marginals above ``NOTICED``.
 
 Only training is bounded: at most ``max_toxic`` and ``max_clean`` labelled rows, chosen by a hash of the id, of which at
 most ``MAX_TRAIN_TOKENS`` tokens each are used; this bounds what reaches the driver. Scoring reads every whole text.
 
 Defined results: null and empty texts, and texts without letters, have no tokens and get the score of no evidence; rows
 with equal text get equal scores; label rows with a null id or label are left out, and of repeated label rows the
-highest label counts; with no usable label of a class every score is that of no evidence; an empty table gives an empty
+highest label counts; with no usable label of a class, or no
+witness, every score is that of no evidence; an empty table gives an empty
 result; the columns of the input are carried in one struct and cannot clash.
 """
 
@@ -30,11 +31,12 @@ from pyspark.sql import functions as F
 
 from lamella.llm.common import table
 
-SLOTS = 1 << 18
+SLOT_BITS = 22
+SLOTS = 1 << SLOT_BITS
 PREFIXES = (3, 4, 5)
 MAX_CHAIN, MAX_TRAIN_TOKENS, MAX_TOXIC, MAX_CLEAN = 64, 1024, 1000, 1500
 PIECE = 1 << 21  # bytes looked at together
-SPAN, MARGIN, LEAST_ODDS, LEAST_DOCS = 0.5, 1.0, 2.0, 3
+SPAN, NOTICED, MARGIN, LEAST_ODDS, LEAST_DOCS, LEAST_SHARE = 0.5, 0.3, 1.0, 2.0, 3, 0.02
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(97, 123), *range(128, 256)]] = True
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -77,7 +79,7 @@ def tokenize(raw: bytes) -> Tokens:
     for k, n in enumerate((None, *PREFIXES)):
         h = (sums[end if n is None else np.minimum(start + n, end)] - low) * unit
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
-        features[k] = (h >> np.uint64(64 - 18)).astype(np.int64)
+        features[k] = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
     stops = np.zeros(len(b) + 1, dtype=np.int32)
     np.cumsum(_STOP[b], out=stops[1:])
     sentence = stops[start]
@@ -130,7 +132,7 @@ class Crf:
         return x / (1 + x)
 
 
-def train_crf(features: np.ndarray, chain: np.ndarray, labels: np.ndarray, rounds: int = 30, l2: float = 1e-3, rate: float = 0.5) -> Crf:
+def train_crf(features: np.ndarray, chain: np.ndarray, labels: np.ndarray, rounds: int = 60, l2: float = 1e-3, rate: float = 1.0) -> Crf:
     """Maximum likelihood by AdaGrad over all chains at once."""
     used, local = np.unique(features, return_inverse=True)
     local = local.reshape(features.shape).astype(np.int32)
@@ -170,11 +172,12 @@ def witnesses(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.nd
     n_pos, n_neg = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     for row in features:
         seen = np.unique(row.astype(np.int64) * len(toxic) + doc)
-        slot, of = seen // len(toxic), toxic[seen % len(toxic)]
-        pos, neg = np.bincount(slot, weights=of, minlength=SLOTS), np.bincount(slot, weights=1 - of, minlength=SLOTS)
+        slots, slot = np.unique(seen // len(toxic), return_inverse=True)
+        of = toxic[seen % len(toxic)]
+        pos, neg = np.bincount(slot, weights=of), np.bincount(slot, weights=1 - of)
         lo = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
-        lo[pos < LEAST_DOCS] = -np.inf
-        odds = np.maximum(odds, lo[row])
+        lo[pos < max(LEAST_DOCS, LEAST_SHARE * n_pos)] = -np.inf  # a few copies of one document prove nothing
+        odds = np.maximum(odds, lo[np.searchsorted(slots, row)])
     best = np.full(len(toxic), -np.inf)
     np.maximum.at(best, doc, odds)
     return (toxic[doc] == 1) & (odds >= LEAST_ODDS) & (odds >= best[doc] - MARGIN)
@@ -193,31 +196,51 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300, l2: float = 1e-2)
 @dataclass
 class Model:
     crf: Crf | None
-    doc_weights: np.ndarray  # of 1, the largest marginal, log of 1 + expected toxic tokens
+    doc_weights: np.ndarray  # of the columns of Evidence.table()
 
-    def score(self, largest: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        x = self.doc_weights[0] + self.doc_weights[1] * largest + self.doc_weights[2] * np.log1p(expected)
-        return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    def score(self, evidence: Evidence) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(evidence.table() @ self.doc_weights, -30, 30)))
+
+
+class Evidence:
+    """Of each document: its two largest marginals and the sum of those above NOTICED."""
+
+    def __init__(self, n: int):
+        self.top, self.next, self.sum = np.zeros(n), np.zeros(n), np.zeros(n)
+
+    def add(self, p: np.ndarray, doc: np.ndarray) -> None:
+        seen = np.flatnonzero(p > NOTICED)
+        p, doc = p[seen], doc[seen]
+        np.add.at(self.sum, doc, p)
+        order = np.lexsort((-p, doc))
+        p, doc = p[order], doc[order]
+        first = np.flatnonzero(np.diff(doc, prepend=-1))
+        second = first[np.flatnonzero(np.diff(first, append=len(doc)) > 1)] + 1
+        for i in (first, second):
+            d, x = doc[i], p[i]
+            self.next[d] = np.maximum(self.next[d], np.minimum(self.top[d], x))
+            self.top[d] = np.maximum(self.top[d], x)
+
+    def table(self) -> np.ndarray:
+        return np.stack([np.ones(len(self.top)), self.top, self.next, np.log1p(self.sum)], axis=1)
 
 
 def fit(features: list[np.ndarray], chains: list[np.ndarray], toxic: np.ndarray) -> Model:
     """features, chains: of each document. toxic: 0 or 1."""
     if not len(toxic) or toxic.min() == toxic.max() or not sum(len(c) for c in chains):
-        return Model(None, np.array([-3.0, 0.0, 0.0]))
+        return Model(None, np.array([-3.0, 0.0, 0.0, 0.0]))
     sizes = [len(c) for c in chains]
     doc = np.repeat(np.arange(len(sizes)), sizes)
     flat = np.concatenate(features, axis=1)
     steps = np.concatenate([np.diff(c, prepend=-1) != 0 for c in chains])
     chain = np.cumsum(steps) - 1
-    crf = train_crf(flat, chain, witnesses(flat, doc, toxic).astype(np.int64))
-    largest, expected = _per_doc(crf.marginals(flat, chain), doc, len(sizes))
-    return Model(crf, _logistic(np.stack([np.ones(len(sizes)), largest, np.log1p(expected)], axis=1), toxic.astype(float)))
-
-
-def _per_doc(p: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    largest = np.zeros(n)
-    np.maximum.at(largest, doc, p)
-    return largest, np.bincount(doc, weights=p, minlength=n)
+    labels = witnesses(flat, doc, toxic)
+    if not labels.any():
+        return Model(None, np.array([-3.0, 0.0, 0.0, 0.0]))
+    crf = train_crf(flat, chain, labels.astype(np.int64))
+    evidence = Evidence(len(sizes))
+    evidence.add(crf.marginals(flat, chain), doc)
+    return Model(crf, _logistic(evidence.table(), toxic.astype(float)))
 
 
 def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
@@ -243,7 +266,7 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
 def score_texts(texts: list[str | None], model: Model) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
     """Of each text: the score, and the toxic spans (first character, character after the last, largest marginal)."""
     n = len(texts)
-    largest, expected = np.zeros(n), np.zeros(n)
+    evidence = Evidence(n)
     spans: list[list[tuple[int, int, float]]] = [[] for _ in range(n)]
     passed = np.zeros(n, dtype=np.int64)  # characters of earlier pieces of the same text
     for who, raws in _pieces(texts) if model.crf else ():
@@ -253,8 +276,7 @@ def score_texts(texts: list[str | None], model: Model) -> tuple[np.ndarray, list
         piece = np.searchsorted(at, tokens.start, side="right") - 1
         p = model.crf.marginals(tokens.features, tokens.chain)
         doc = np.array(who, dtype=np.int64)[piece]
-        np.maximum.at(largest, doc, p)
-        expected += np.bincount(doc, weights=p, minlength=n)
+        evidence.add(p, doc)
         toxic = p >= SPAN
         if toxic.any() or len(who) != len(set(who)) or any(len(r) >= PIECE // 2 for r in raws):
             chars = np.zeros(len(raw) + 1, dtype=np.int64)
@@ -268,7 +290,7 @@ def score_texts(texts: list[str | None], model: Model) -> tuple[np.ndarray, list
                 spans[d].append((int(passed[d] + chars[tokens.start[a]]) - base, int(passed[d] + chars[tokens.end[z]]) - base, float(p[a : z + 1].max())))
             for d, lo, r in zip(who, at, raws):
                 passed[d] += chars[lo + len(r)] - chars[lo]
-    return model.score(largest, expected), spans
+    return model.score(evidence), spans
 
 
 def held_out(id_col: str):
