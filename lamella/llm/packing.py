@@ -14,9 +14,12 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +28,8 @@ from lamella.llm.common import materialize, table
 
 CAPACITY, NEARLY_FULL, FAN_IN, MAX_ITEMS, CHUNK = 2048, 0.995, 8, 2_000_000, 100_000
 END_ID = 0
-CACHE_WORDS = 700_000
-PORTION = 4_000_000
+CACHE_WORDS = 1_000_000
+PORTION = 8_000_000
 CLOSING = ".,;:!?"
 
 
@@ -52,36 +55,44 @@ class WordIds:
 
     def _together(self, texts: list[str]) -> list[bytes]:
         ids = np.array(self.tokenizer.encode_batch_fast([f" {self.mark} ".join(texts)], add_special_tokens=False)[0].ids, dtype="<u4")
-        parts = np.split(ids, np.flatnonzero(ids == self.mark_id))
-        if len(parts) != len(texts):
+        at = 4 * np.flatnonzero(ids == self.mark_id)
+        if len(at) + 1 != len(texts):
             return [self._alone(x) for x in texts]
-        return [(x[1:] if i else x).tobytes() for i, x in enumerate(parts)]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(at + 4).tolist()], [*at.tolist(), len(raw)])]
 
     def _learn(self, words: set[str]) -> None:
         for known in (self.words, self.stems):
             if len(known) > CACHE_WORDS:
                 known.clear()
-        split = {}
-        for w in words:
-            stem = w.rstrip(CLOSING)
-            split[w] = (stem, w[len(stem) :]) if stem.isalpha() else (w, "")
-        new = {x for pair in split.values() for x in pair if x} - self.stems.keys()
+        stems = {w: w.rstrip(CLOSING) for w in words}
+        stems = {w: s if s.isalpha() else w for w, s in stems.items()}
+        closings = {w[len(s) :] for w, s in stems.items() if len(s) < len(w)}
+        new = (set(stems.values()) | closings) - self.stems.keys()
         plain = [x for x in new if "<|" not in x]
-        for at in range(0, len(plain), 2000):
-            self.stems.update(zip(plain[at : at + 2000], self._together(plain[at : at + 2000])))
+        for at in range(0, len(plain), 4000):
+            self.stems.update(zip(plain[at : at + 4000], self._together(plain[at : at + 4000])))
         self.stems.update((x, self._alone(x)) for x in new if "<|" in x)
-        self.words.update((w, self.stems[a] + (self.stems[b] if b else b"")) for w, (a, b) in split.items())
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        split = [x.split() for x in texts]
-        found = [list(map(self.words.get, words)) for words in split]
-        new = {w for words, ids in zip(split, found) if None in ids for w, x in zip(words, ids) if x is None}
-        if new:
-            self._learn(new)
-            for i, (words, ids) in enumerate(zip(split, found)):
-                if None in ids:
-                    found[i] = [self.words[w] if x is None else x for w, x in zip(words, ids)]
-        return [b"".join(ids) for ids in found]
+        known = self.stems
+        self.words.update({w: known[s] if len(s) == len(w) else known[s] + known[w[len(s) :]] for w, s in stems.items()})
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and where each text's begin, and the end."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        found = list(map(self.words.get, words))
+        while None in found:  # once more if some were let go to make room
+            self._learn(set(compress(words, map(is_, found, repeat(None)))))
+            found = list(map(self.words.get, words))
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        ids = np.frombuffer(b"".join(found), dtype="<u4")
+        n = sizes[which]
+        ends = np.r_[0, np.cumsum(n)]
+        flat = ids[np.repeat(starts[which] - ends[:-1], n) + np.arange(ends[-1])]
+        at = split.offsets.to_numpy().astype(np.int64)
+        return flat, ends[at - at[0]]
 
 
 _word_ids: dict[str, WordIds] = {}  # of this Python worker, which serves many tasks
@@ -93,17 +104,15 @@ def word_ids(path: str) -> WordIds:
     return _word_ids[path]
 
 
-def _portions(texts: list[str | None]) -> Iterator[list[str]]:
-    """In order, as many texts together as make PORTION characters, or one longer text."""
-    held, size = [], 0
-    for x in texts:
-        held.append(x or "")
-        size += len(held[-1])
-        if size >= PORTION:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def _portions(texts: pa.Array) -> Iterator[pa.Array]:
+    """In order, slices of about PORTION bytes, or one longer text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(size):
+        done = int(size[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(size, done + PORTION, side="right")))
+        yield texts.slice(at, to - at)
+        at = to
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -154,12 +163,16 @@ def _pack_texts(tokenizer_path: str, capacity: int, chunk: int):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
         for batch in batches:
-            texts = (ids for held_back in _portions(batch.column(1).to_pylist()) for ids in ids_of(held_back))
-            for doc_id, ids in zip(batch.column(0).to_pylist(), texts):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    piece = ids[at : at + 4 * capacity]
-                    held.append((doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
+            doc_ids = iter(batch.column(0).to_pylist())
+            for texts in _portions(batch.column(1)):
+                ids, at = ids_of(texts)
+                raw = memoryview(np.ascontiguousarray(ids)).cast("B")
+                for a, z in zip(at[:-1].tolist(), at[1:].tolist()):
+                    doc_id, n = next(doc_ids), z - a + 1
+                    for k, s in enumerate(range(0, n, capacity)):
+                        length = min(capacity, n - s)
+                        crc = zlib.crc32(raw[4 * (a + s) : 4 * min(a + s + length, z)])
+                        held.append((doc_id, k, s, length, zlib.crc32(end, crc) if s + length == n else crc))
                 if len(held) >= chunk:
                     yield flush()
         if held:
