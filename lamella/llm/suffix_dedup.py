@@ -355,9 +355,9 @@ def _windows(length: int):
 
 def _bit_set(hashes: DataFrame):
     """hashes: column h, distinct. Its bits, 2**26 of them whatever the input, for every task."""
-    words = hashes.select(F.expr(f"shiftright(h & {BITS - 1}L, 6)").alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+    words = hashes.select(F.expr(f"shiftright(h & {BITS - 1}L, 6)").alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     bits = np.zeros(BITS // 64, dtype=np.uint64)
-    bits[words["w"].to_numpy(dtype=np.int64)] = words["m"].to_numpy(dtype=np.int64).view(np.uint64)
+    bits[words["w"].to_numpy()] = words["m"].to_numpy().astype(np.int64).view(np.uint64)
     return hashes.sparkSession.sparkContext.broadcast(bits)
 
 
