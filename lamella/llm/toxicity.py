@@ -294,7 +294,8 @@ def score_texts(texts: list[str | None], model: Model) -> tuple[np.ndarray, list
 
 
 def held_out(id_col: str):
-    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0
+    """Whether crc32 of the id as text is a multiple of 5; a null id is held out."""
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
