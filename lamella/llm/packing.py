@@ -14,8 +14,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import compress, repeat
-from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +26,7 @@ from lamella.llm.common import materialize, table
 
 CAPACITY, NEARLY_FULL, FAN_IN, MAX_ITEMS, CHUNK = 2048, 0.995, 8, 2_000_000, 100_000
 END_ID = 0
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 PORTION = 8_000_000
 CLOSING = ".,;:!?"
 
@@ -36,9 +34,9 @@ CLOSING = ".,;:!?"
 class WordIds:
     """Little-endian 32-bit ids of texts, word by word: this tokenizer drops white space and never joins text across it.
 
-    Ids of words seen before are kept, up to CACHE_WORDS of them. New words are encoded together, between end signs. Of a
-    word of letters with closing punctuation the letters and the punctuation are encoded apart, as the tokenizer splits
-    them there.
+    Of a word of letters with closing punctuation the letters and the punctuation are encoded apart, as the tokenizer
+    splits them there. Ids seen before are kept in two generations of CACHE_WORDS; what is used moves to the young one, and
+    the old one goes when that is full. New ones are encoded together, between end signs.
     """
 
     def __init__(self, path: str):
@@ -47,8 +45,8 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = "<|endoftext|>"
         self.mark_id = self.tokenizer.token_to_id(self.mark)
-        self.words: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -61,30 +59,29 @@ class WordIds:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *(at + 4).tolist()], [*at.tolist(), len(raw)])]
 
-    def _learn(self, words: set[str]) -> None:
-        for known in (self.words, self.stems):
-            if len(known) > CACHE_WORDS:
-                known.clear()
-        stems = {w: w.rstrip(CLOSING) for w in words}
-        stems = {w: s if s.isalpha() else w for w, s in stems.items()}
-        closings = {w[len(s) :] for w, s in stems.items() if len(s) < len(w)}
-        new = (set(stems.values()) | closings) - self.stems.keys()
-        plain = [x for x in new if "<|" not in x]
+    def _known(self, stems: set[str]) -> dict[str, bytes]:
+        """Ids of all these."""
+        if len(self.young) > CACHE_WORDS:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        missing = stems - young.keys()
+        again = missing & old.keys()
+        young.update((x, old[x]) for x in again)
+        missing -= again
+        plain = [x for x in missing if "<|" not in x]
         for at in range(0, len(plain), 4000):
-            self.stems.update(zip(plain[at : at + 4000], self._together(plain[at : at + 4000])))
-        self.stems.update((x, self._alone(x)) for x in new if "<|" in x)
-        known = self.stems
-        self.words.update({w: known[s] if len(s) == len(w) else known[s] + known[w[len(s) :]] for w, s in stems.items()})
+            young.update(zip(plain[at : at + 4000], self._together(plain[at : at + 4000])))
+        young.update((x, self._alone(x)) for x in missing if "<|" in x)
+        return young
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and where each text's begin, and the end."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = split.flatten().dictionary_encode()
         words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        found = list(map(self.words.get, words))
-        while None in found:  # once more if some were let go to make room
-            self._learn(set(compress(words, map(is_, found, repeat(None)))))
-            found = list(map(self.words.get, words))
+        stems = [x if x.isalpha() else w for w, x in ((w, w.rstrip(CLOSING)) for w in words)]
+        known = self._known({*stems, *(w[len(x) :] for w, x in zip(words, stems))})
+        found = [known[x] if len(x) == len(w) else known[x] + known[w[len(x) :]] for w, x in zip(words, stems)]
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
         starts = np.cumsum(sizes) - sizes
         ids = np.frombuffer(b"".join(found), dtype="<u4")
