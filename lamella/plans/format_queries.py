@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.operators import formats, requests
+from lamella.operators import decode, formats, requests
 from lamella.plans.fixtures import LEVELS, levels, table
 
 QUERIES, SQL = {}, {}
@@ -157,3 +157,43 @@ def tag_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     return requests.same_count(orders, orders.filter("o_orderkey % 2 = 0"))
+
+
+@query("select doc_id as k, cast(octet_length(encode(coalesce(text, ''))) // 3 as bigint) as pixels, true as same from documents where octet_length(encode(coalesce(text, ''))) >= 3")
+def rle_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as RGB frames, run-length coded in three planes and back."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.coalesce("text", F.lit("")).cast("binary").alias("t")).filter(F.octet_length("t") >= 3)
+    rows = rows.withColumn("pixels", F.floor(F.octet_length("t") / 3)).withColumn("raw", F.substr("t", F.lit(1), (F.col("pixels") * 3).cast("int")))
+    return rows.select("k", "pixels", (decode.rle_decode(decode.rle_encode(F.col("raw"), 3), F.col("pixels"), 3) == F.col("raw")).alias("same"))
+
+
+def _packets(progression: str, order: str):
+    sql = f"""with p as (select p_partkey as k, l as layer, r as res, c as comp, q as prec from part, range(0, 2) a(l), range(0, 3) b(r), range(0, 3) d(c), range(0, 4) e(q) where l < 1 + p_partkey % 2 and r < 1 + p_size % 3 and q < 1 + p_size % 4)
+select k, cast(layer as int) as layer, cast(res as int) as res, cast(comp as int) as comp, cast(prec as int) as prec, cast(row_number() over (partition by k order by {order}) - 1 as int) as place from p"""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        images = table(spark, sf_dir, "part").selectExpr("p_partkey as k", "cast(1 + p_partkey % 2 as int) as layers", "1 + p_size % 3 as resolutions", "3 as components", "1 + p_size % 4 as precincts")
+        return decode.packet_order(images, "k", progression)
+
+    run.__name__ = f"packet_order_{progression.lower()}"
+    query(sql)(run)
+
+
+for _name, _loops in decode.PROGRESSIONS.items():
+    _packets(_name, ", ".join(_loops))
+
+
+@query(
+    """with r as (select s_suppkey as k, 1000 + s_suppkey * 10 as o, 500 as n, case when s_suppkey % 2 = 0 then [1000 + s_suppkey * 10, 1200 + s_suppkey * 10] else [0, 200] end as st from supplier), a as (select *, k % 2 = 0 as absolute from r)
+select k, absolute, case when absolute then st[2] - o else st[2] end as second from a"""
+)
+def mcu_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as k", "1000 + s_suppkey * 10 as o", "if(s_suppkey % 2 = 0, array(1000 + s_suppkey * 10, 1200 + s_suppkey * 10), array(0L, 200L)) as st")
+    rows = rows.withColumn("absolute", decode.mcu_starts_are_absolute(F.col("st"), F.col("o"), F.lit(500)))
+    return rows.select("k", "absolute", decode.normalized_mcu_start(F.get("st", F.lit(1)), F.col("absolute"), F.col("o")).alias("second"))
+
+
+@query("select p_partkey as k, ['None', 'Rle', 'Jpeg', 'JpegLs', 'Jp2k', 'Unsupported'][1 + p_partkey % 6] as codec from part")
+def transfer_syntaxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uid = F.expr("array('1.2.840.10008.1.2.1', '1.2.840.10008.1.2.5', '1.2.840.10008.1.2.4.50', '1.2.840.10008.1.2.4.80', '1.2.840.10008.1.2.4.91', '1.2.3')[cast(p_partkey % 6 as int)]")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), decode.transfer_syntax(uid).alias("codec"))
