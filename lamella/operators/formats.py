@@ -97,8 +97,8 @@ def level_errors(levels: DataFrame) -> DataFrame:
 
 
 def tile_size(layout: Column, tile: Column, advance: Column) -> Column:
-    """The tile size that a caller sees: the grid's, else the rounded advance, else none."""
-    return F.when(layout == "Regular", tile).when(layout == "Irregular", F.greatest(F.round(advance), F.lit(1)).cast("long"))
+    """The tile size that a caller sees: the grid's or the virtual tile's, else the rounded advance."""
+    return F.when(layout.isin("Regular", "WholeLevel"), tile).when(layout == "Irregular", F.greatest(F.round(advance), F.lit(1)).cast("long"))
 
 
 def tag_rgb(color: Column) -> Column:

@@ -6,7 +6,9 @@ the number of hits.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.functions.geometry import edge_extent, span_array, tile_span
@@ -65,26 +67,32 @@ def display_tiles(levels: DataFrame, tile: int) -> DataFrame:
 
 
 def window_selections(requests: DataFrame, margin: int) -> DataFrame:
-    """Tiles under a window and ``margin`` tiles around it. The window starts at origin, else around center, else around the
-    middle of the level, never below zero."""
+    """Tiles under a window and ``margin`` tiles around it. The window starts at origin, else around center, else in the
+    middle of the level, never below zero, and ends with the level."""
     c = F.col
     axes = (("x", "w", "width", "tile_w", "tiles_across", "col"), ("y", "h", "height", "tile_h", "tiles_down", "row"))
     out = requests
     for x, w, size, tile, count, name in axes:
-        start = F.coalesce(c(f"origin_{x}"), F.greatest(F.coalesce(c(f"center_{x}"), F.floor(c(size) / 2)) - F.floor(c(w) / 2), F.lit(0)))
+        around = F.when(c(f"center_{x}").isNotNull(), F.greatest(c(f"center_{x}") - F.floor(c(w) / 2), F.lit(0)))
+        start = F.coalesce(c(f"origin_{x}"), around, F.floor(F.greatest(c(size) - c(w), F.lit(0)) / 2))
         first = F.greatest(F.floor(start / c(tile)) - margin, F.lit(0))
-        last = F.least(F.floor((start + F.greatest(c(w), F.lit(1)) - 1) / c(tile)) + margin, c(count) - 1)
+        end = F.least(start + F.greatest(c(w) - 1, F.lit(0)), F.greatest(c(size) - 1, F.lit(0)))
+        last = F.least(F.floor(end / c(tile)) + margin, c(count) - 1)
         out = out.withColumn(name, F.explode(span_array(first, last + 1)))
     return out
 
 
-def centered_coords(levels: DataFrame, count: int) -> DataFrame:
-    """The first ``count`` tiles, row-major, of a square block around the middle of each grid."""
-    c = F.col
-    side = F.least(F.lit(int(-(-(count**0.5) // 1))).cast("long"), c("tiles_across"))
-    rows = F.least(F.ceil(F.lit(count) / side), c("tiles_down"))
-    col0 = F.floor((c("tiles_across") - side) / 2)
-    row0 = F.floor((c("tiles_down") - rows) / 2)
-    grid = levels.withColumns({"side": side, "col0": col0, "row0": row0, "rows": rows})
-    grid = grid.withColumn("i", F.explode(span_array(F.lit(0).cast("long"), F.least(c("side") * c("rows"), F.lit(count)))))
-    return grid.withColumns({"col": c("col0") + c("i") % c("side"), "row": c("row0") + F.floor(c("i") / c("side"))}).drop("side", "col0", "row0", "rows", "i")
+def centered_coords(levels: DataFrame, count: int, by: list[str]) -> DataFrame:
+    """``count`` tiles of each grid: a square block around its middle, row-major, then the rest of the grid, row-major."""
+    c, side = F.col, math.isqrt(count - 1) + 1 if count > 0 else 0
+    first = lambda n: F.floor(F.greatest(c(n) - side, F.lit(0)) / 2)
+    grid = levels.withColumns({"c0": first("tiles_across"), "r0": first("tiles_down")})
+    in_block = (c("col") >= c("c0")) & (c("col") < c("c0") + side) & (c("row") >= c("r0")) & (c("row") < c("r0") + side)
+    cols, rows = (span_array(c(a), F.least(c(a) + side, c(n))) for a, n in (("c0", "tiles_across"), ("r0", "tiles_down")))
+    block = grid.withColumn("row", F.explode(rows)).withColumn("col", F.explode(cols)).withColumn("rest", F.lit(0))
+    # no more than count + side ** 2 tiles of the rest can be needed
+    some = F.least(c("tiles_across") * c("tiles_down"), F.lit(count + side * side).cast("long"))
+    rest = grid.withColumn("i", F.explode(span_array(F.lit(0).cast("long"), some))).withColumns({"row": F.floor(c("i") / c("tiles_across")), "col": c("i") % c("tiles_across")}).drop("i")
+    both = block.unionByName(rest.filter(~in_block).withColumn("rest", F.lit(1)))
+    ranked = both.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("rest", "row", "col")))
+    return ranked.filter(c("n") <= count).drop("c0", "r0", "rest", "n")

@@ -17,15 +17,21 @@ def quickhash(parts: DataFrame, by: list[str], order: str, data: str) -> DataFra
 
 
 def sample_offsets(length: Column, window: int = WINDOW) -> Column:
-    """Sorted, distinct starts of up to five windows: first, quarters, last."""
-    room = F.greatest(length - window, F.lit(0)).cast("long")
-    return F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.floor(room * k / 4).cast("long"))))
+    """Sorted, distinct starts of up to five windows: the start, the quarters, and one that ends with the source."""
+    quarter = F.floor(length / 4)
+    return F.array_sort(F.array_distinct(F.array(F.lit(0).cast("long"), quarter, F.floor(length / 2), quarter * 3, F.greatest(length - window, F.lit(0)).cast("long"))))
+
+
+def little_endian(n: Column) -> Column:
+    """Eight bytes of a number, as hex."""
+    return F.concat(*[F.lpad(F.hex(F.shiftright(n, 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(8)])
 
 
 def fingerprint(content: Column, window: int = WINDOW) -> Column:
-    """SHA-256 over the sampled windows of a text of ASCII or of bytes."""
-    samples = F.transform(sample_offsets(F.length(content), window), lambda o: F.substr(content, (o + 1).cast("int"), F.lit(window)))
-    return F.sha2(F.array_join(samples, ""), 256)
+    """SHA-256 over a source's length, and over each sampled window's place and bytes. content: binary."""
+    length = F.octet_length(content).cast("long")
+    part = lambda o: F.concat(little_endian(o), F.hex(F.substr(content, (o + 1).cast("int"), F.lit(window))))
+    return F.sha2(F.unhex(F.concat(little_endian(length), F.array_join(F.transform(sample_offsets(length, window), part), ""))), 256)
 
 
 def dataset_id(hash_hex: Column) -> Column:

@@ -30,7 +30,8 @@ def mpp_from_resolution(resolution: Column, unit: Column, default_unit: int) ->
 
 
 def hex_rgb(text: Column) -> Column:
-    """Six hex digits as three numbers; anything else is white."""
+    """Six hex digits, after any number signs, as three numbers; anything else is white."""
+    text = F.ltrim(text, F.lit("#"))
     ok = F.regexp_like(text, F.lit("^[0-9a-fA-F]{6}$"))
     part = lambda i: F.when(ok, F.conv(F.substring(text, i, 2), 16, 10).cast("int")).otherwise(255)
     return F.array(part(1), part(3), part(5))

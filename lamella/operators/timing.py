@@ -11,6 +11,7 @@ def summaries(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
     pairs = before.withColumnRenamed("value", "b").join(after.withColumnRenamed("value", "a"), [*by, "repeat"])
     slower = (F.col("a") > F.col("b") * 1.05) & (F.col("a") - F.col("b") >= 500)
     out = pairs.groupBy(*by).agg(F.count("*").alias("pairs"), F.median("b").alias("before"), F.median("a").alias("after"), F.count_if(slower).alias("slower"))
+    out = out.filter("pairs >= 3")
     return out.withColumn("regressed", (F.col("pairs") >= 3) & (F.col("slower") >= 2) & (F.col("after") > F.col("before") * 1.05) & (F.col("after") - F.col("before") >= 500))
 
 

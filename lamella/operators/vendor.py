@@ -51,10 +51,21 @@ def best_probe(probes: DataFrame) -> DataFrame:
     return best.select("path", "m.vendor", "m.confidence", F.when(c("m").isNull(), c("e.error")).alias("error"))
 
 
+# ImageType arrays and their roles; any other array is ignored.
+IMAGE_TYPES = [
+    ("ORIGINAL", "PRIMARY", "VOLUME", "NONE", "Level"), ("DERIVED", "PRIMARY", "VOLUME", "NONE", "Level"), ("DERIVED", "PRIMARY", "VOLUME", "RESAMPLED", "Level"),
+    ("ORIGINAL", "PRIMARY", "LABEL", "NONE", "label"), ("DERIVED", "PRIMARY", "LABEL", "NONE", "label"),
+    ("ORIGINAL", "PRIMARY", "OVERVIEW", "NONE", "macro"), ("DERIVED", "PRIMARY", "OVERVIEW", "NONE", "macro"),
+    ("ORIGINAL", "PRIMARY", "THUMBNAIL", "RESAMPLED", "thumbnail"), ("DERIVED", "PRIMARY", "THUMBNAIL", "RESAMPLED", "thumbnail"),
+]
+
+
 def dicom_role(image_type: Column) -> Column:
-    """Role by the third value of ImageType, for originals and derived primaries."""
-    third = F.get(image_type, F.lit(2))
-    return F.when(third == "VOLUME", "Level").when(third == "LABEL", "label").when(third == "OVERVIEW", "macro").when(third == "THUMBNAIL", "thumbnail").otherwise("Unsupported")
+    """Role by the whole ImageType array."""
+    out = F.lit("Ignore")
+    for *values, role in IMAGE_TYPES:
+        out = F.when(image_type == F.array(*map(F.lit, values)), role).otherwise(out)
+    return out
 
 
 def common_value(rows: DataFrame, by: str, value: str) -> DataFrame:
@@ -137,13 +148,12 @@ def serpentine(tile_id: Column, columns: Column) -> tuple[Column, Column]:
 
 
 def ndpi_offset(directory: Column, offset: Column) -> Column:
-    """A 32-bit offset that wrapped: the largest with these low bits that lies below the directory."""
-    high = directory - F.pmod(directory, F.lit(1 << 32))
-    whole = high + offset
-    return F.when(whole > directory, F.greatest(whole - (1 << 32), F.pmod(whole, F.lit(1 << 32)))).otherwise(whole)
+    """A 32-bit offset that wrapped: the largest with these low bits that lies below the directory, zero at least."""
+    whole = directory - F.pmod(directory, F.lit(1 << 32)) + F.pmod(offset, F.lit(1 << 32))
+    return F.when(whole >= directory, F.greatest(whole - (1 << 32), F.lit(0))).otherwise(whole)
 
 
 def unique_names(rows: DataFrame, by: str, name: str, order: str) -> DataFrame:
-    """Names made unique in a slide: the second ``macro`` is ``macro_1``."""
+    """Names made unique in a slide: the second ``macro`` is ``macro-1``."""
     n = F.row_number().over(Window.partitionBy(by, name).orderBy(order)) - 1
-    return rows.withColumn("unique_name", F.when(n == 0, F.col(name)).otherwise(F.concat(name, F.lit("_"), n.cast("string"))))
+    return rows.withColumn("unique_name", F.when(n == 0, F.col(name)).otherwise(F.concat(name, F.lit("-"), n.cast("string"))))

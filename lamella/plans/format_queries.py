@@ -141,7 +141,7 @@ def level_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.level_errors(rows).select("dataset_id", "level", "error")
 
 
-@query("select s_suppkey as k, ['Regular', 'Irregular', 'WholeLevel'][1 + s_suppkey % 3] as layout, case s_suppkey % 3 when 0 then 256 when 1 then greatest(cast(round(s_acctbal / 100) as bigint), 1) else -1 end as size from supplier")
+@query("select s_suppkey as k, ['Regular', 'Irregular', 'WholeLevel'][1 + s_suppkey % 3] as layout, case s_suppkey % 3 when 1 then greatest(cast(round(s_acctbal / 100) as bigint), 1) else 256 end as size from supplier")
 def layout_tile_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as k", "array('Regular', 'Irregular', 'WholeLevel')[cast(s_suppkey % 3 as int)] as layout", "s_acctbal / 100 as adv")
     return rows.select("k", "layout", F.coalesce(formats.tile_size(F.col("layout"), F.lit(256).cast("long"), F.col("adv")), F.lit(-1)).alias("size"))

@@ -128,8 +128,8 @@ def level0_to_level_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""with {LEVELS}, r as (select *, case when dataset_id % 3 = 0 then (dataset_id * 37) % width end as ox, case when dataset_id % 3 = 0 then (dataset_id * 53) % height end as oy,
     case when dataset_id % 3 = 1 then (dataset_id * 71) % width end as cx, case when dataset_id % 3 = 1 then (dataset_id * 97) % height end as cy, 300 as w, 200 as h from levels),
-s as (select *, coalesce(ox, greatest(coalesce(cx, width // 2) - 150, 0)) as sx, coalesce(oy, greatest(coalesce(cy, height // 2) - 100, 0)) as sy from r),
-b as (select *, greatest(sx // 256 - 1, 0) as c0, least((sx + 299) // 256 + 1, tiles_across - 1) as c1, greatest(sy // 256 - 1, 0) as r0, least((sy + 199) // 256 + 1, tiles_down - 1) as r1 from s),
+s as (select *, coalesce(ox, case when cx is not null then greatest(cx - 150, 0) end, greatest(width - 300, 0) // 2) as sx, coalesce(oy, case when cy is not null then greatest(cy - 100, 0) end, greatest(height - 200, 0) // 2) as sy from r),
+b as (select *, greatest(sx // 256 - 1, 0) as c0, least(least(sx + 299, width - 1) // 256 + 1, tiles_across - 1) as c1, greatest(sy // 256 - 1, 0) as r0, least(least(sy + 199, height - 1) // 256 + 1, tiles_down - 1) as r1 from s),
 x as (select *, unnest(range(c0, c1 + 1)) as col from b)
 select dataset_id, level, col, unnest(range(r0, r1 + 1)) as "row" from x"""
 )
@@ -145,12 +145,12 @@ def window_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {LEVELS}, g as (select *, least(4, tiles_across) as side from levels), h as (select *, least((12 + side - 1) // side, tiles_down) as n_rows from g),
-i as (select *, unnest(range(0, least(side * n_rows, 12))) as i from h)
-select dataset_id, level, cast((tiles_across - side) // 2 + i % side as bigint) as col, cast((tiles_down - n_rows) // 2 + i // side as bigint) as "row" from i"""
+    f"""with {LEVELS}, g as (select *, greatest(tiles_across - 4, 0) // 2 as c0, greatest(tiles_down - 4, 0) // 2 as r0 from levels), t as (select *, unnest(range(0, tiles_across)) as col from g), u as (select *, unnest(range(0, tiles_down)) as "row" from t),
+o as (select *, row_number() over (partition by dataset_id, level order by case when col >= c0 and col < c0 + 4 and "row" >= r0 and "row" < r0 + 4 then 0 else 1 end, "row", col) as n from u)
+select dataset_id, level, col, "row" from o where n <= 12"""
 )
 def centered_tile_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.centered_coords(levels(spark, sf_dir), 12).select("dataset_id", "level", "col", "row")
+    return grid.centered_coords(levels(spark, sf_dir), 12, ["dataset_id", "level"]).select("dataset_id", "level", "col", "row")
 
 
 @query(

@@ -154,7 +154,7 @@ def property_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 select k, case when k % 4 = 0 then 255 else ('0x' || substr(t, 1, 2))::int end as r, case when k % 4 = 0 then 255 else ('0x' || substr(t, 3, 2))::int end as g, case when k % 4 = 0 then 255 else ('0x' || substr(t, 5, 2))::int end as b from r"""
 )
 def background_color(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey as k", "case when p_partkey % 4 = 0 then 'nothex' else substr(sha2(p_name, 256), 1, 6) end as t").withColumn("c", properties.hex_rgb(F.col("t")))
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey as k", "case when p_partkey % 4 = 0 then 'nothex' else concat('#', substr(sha2(p_name, 256), 1, 6)) end as t").withColumn("c", properties.hex_rgb(F.col("t")))
     return rows.select("k", *[F.get("c", F.lit(i)).alias(n) for i, n in enumerate("rgb")])
 
 
@@ -235,9 +235,9 @@ def series_group_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vendor.common_value(table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "series"), "series", "l_returnflag")
 
 
-@query("select o_orderkey as k, case o_orderkey % 5 when 0 then 'Level' when 1 then 'label' when 2 then 'macro' when 3 then 'thumbnail' else 'Unsupported' end as role from orders")
+@query("select o_orderkey as k, case o_orderkey % 5 when 0 then 'Level' when 1 then 'label' when 2 then 'macro' when 3 then 'Ignore' else 'thumbnail' end as role from orders")
 def dicom_role(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.expr("array('ORIGINAL', 'PRIMARY', array('VOLUME', 'LABEL', 'OVERVIEW', 'THUMBNAIL', 'X')[cast(o_orderkey % 5 as int)], 'NONE')")
+    kind = F.expr("array('ORIGINAL', 'PRIMARY', array('VOLUME', 'LABEL', 'OVERVIEW', 'THUMBNAIL', 'THUMBNAIL')[cast(o_orderkey % 5 as int)], if(o_orderkey % 5 = 4, 'RESAMPLED', 'NONE'))")
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), vendor.dicom_role(kind).alias("role"))
 
 
@@ -313,7 +313,7 @@ def serpentine_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """with n as (select s_suppkey as k, case when s_nationkey % 3 = 0 then 'macro' when s_nationkey % 3 = 1 then 'label' else 'thumb' end as name from supplier),
-r as (select *, row_number() over (partition by k % 10, name order by k) - 1 as i from n) select k, case when i = 0 then name else name || '_' || i end as unique_name from r"""
+r as (select *, row_number() over (partition by k % 10, name order by k) - 1 as i from n) select k, case when i = 0 then name else name || '-' || i end as unique_name from r"""
 )
 def unique_associated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as k", "s_suppkey % 10 as slide", "case s_nationkey % 3 when 0 then 'macro' when 1 then 'label' else 'thumb' end as name")
@@ -332,10 +332,14 @@ def quickhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["quickhash"] = SQL["quickhash"].replace("select conv_id as k, sum(octet_length(encode(coalesce(text, ''))))", "select conv_id as k, cast(sum(octet_length(encode(coalesce(text, '')))) as bigint)")
 
 
+def _le(n: str) -> str:
+    return " || ".join(f"printf('%02X', (({n}) >> {8 * i}) & 255)" for i in range(8))
+
+
 @query(
-    """with d as (select doc_id as k, coalesce(text, '') as t, greatest(length(coalesce(text, '')) - 64, 0) as room from documents),
-o as (select distinct k, t, cast(floor(room * i / 4) as bigint) as o from d, range(0, 5) r(i))
-select k, sha256(string_agg(substr(t, o + 1, 64), '' order by o)) as fingerprint from o group by k"""
+    f"""with d as (select doc_id as k, hex(encode(coalesce(text, ''))) as t, cast(octet_length(encode(coalesce(text, ''))) as bigint) as n from documents),
+o as (select distinct k, t, n, unnest([0, n // 4, n // 2, n // 4 * 3, greatest(n - 65536, 0)]) as o from d)
+select k, sha256(unhex(any_value({_le("n")}) || string_agg({_le("o")} || substr(t, 2 * o + 1, 131072), '' order by o))) as fingerprint from o group by k"""
 )
 def source_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), identity.fingerprint(F.coalesce("text", F.lit("")), 64).alias("fingerprint"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), identity.fingerprint(F.coalesce("text", F.lit("")).cast("binary")).alias("fingerprint"))

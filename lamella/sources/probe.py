@@ -23,12 +23,12 @@ def probes(files: DataFrame) -> DataFrame:
         "svcache": (_starts(head, "5356434143484531"), "Definite"),
         "dicom": (F.substring(head, 129, 4) == F.lit("DICM").cast("binary"), "Definite"),
         "mirax": (ext == "mrxs", "Definite"),
-        "vms": (ext == "vms", "Likely"),
-        "vsi": (ext == "vsi", "Likely"),
+        "vms": (ext == "vms", "Definite"),
+        "vsi": (ext == "vsi", "Definite"),
         "raw_jp2k": (ext.isin("j2k", "j2c", "jp2k") & _starts(head, "FF4F"), "Definite"),
         "zvi": (_starts(head, "D0CF11E0A1B11AE1") & (ext == "zvi"), "Definite"),
         "czi": (_starts(head, "5A495352415746494C45"), "Definite"),
-        "tiff": (tiff, "Likely"),
+        "tiff": (tiff, "Definite"),
     }
     broken = F.when((ext == "ndpi") & ~tiff, "malformed .ndpi")
     structs = [
