@@ -34,7 +34,7 @@ from xxhash import xxh3_64_intdigest
 from lamella.llm.common import materialize, table
 
 LENGTH, K, SPLIT_AT = 100, 20, 20_000
-PIECE, BUCKET = 1 << 21, 1 << 20
+PIECE, BUCKET = 1 << 20, 1 << 19
 BITS = 1 << 26
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -370,8 +370,9 @@ def _settle(df: DataFrame) -> DataFrame:
 
 
 def _not_first(rows: DataFrame) -> DataFrame:
-    """rows: h, f, doc, val. Those that are not the first with their (h, f)."""
-    first = rows.groupBy("h", "f").agg(F.min(F.struct("doc", "val")).alias("first"))
+    """rows: h, f, doc, val. Those that are not the first with their (h, f). The firsts are stored, so that the join has
+    a shuffle of its own on both sides, whose large partitions Spark can split: one fragment may be a third of all rows."""
+    first = _settle(rows.groupBy("h", "f").agg(F.count("*").alias("n"), F.min(F.struct("doc", "val")).alias("first")).filter("n > 1").drop("n"))
     return rows.join(first, ["h", "f"]).filter((F.col("doc") != F.col("first.doc")) | (F.col("val") != F.col("first.val"))).select("doc", "val")
 
 
