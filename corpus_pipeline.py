@@ -24,7 +24,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each SimHash component, with links checked at the shingles' similarity."""
+    """Keeps one row of each SimHash component, with links checked at the exact similarity of the shingle sets."""
     return simhash.deduplicate(docs)
 
 

@@ -7,10 +7,12 @@ and cut into tiles; tile pairs whose counts differ by more than the radius are s
 are pairs that are one component already; the others are compared whole by exclusive or and bit counts. A bucket gives
 one edge for each value at most (to its local root), and star contraction joins the edges into components.
 
-``deduplicate`` links by similarity instead: wide fingerprints (``LANES`` x 64 bits, shingles of five words) whose
-differing bits estimate the angle between the shingle sets, and so their Jaccard similarity. Such radii leave no block
-to agree in, so all tile pairs are compared but those that population counts rule out: chunks sorted by the population
-count of the first 64 bits, a row for each pair of chunks, and in it tiles; a pair's first 64 bits are compared first.
+``deduplicate`` links by the exact Jaccard similarity of the sets of distinct shingles (five words) instead. Candidates
+come from wide fingerprints (``LANES`` x 64 bits), whose differing bits estimate the angle between the shingles. Such radii
+leave no block to agree in, so all tile pairs are compared but those that population counts rule out: chunks sorted by
+the population count of the first 64 bits, a row for each pair of chunks, and in it tiles; a pair's first 64 bits are
+compared first. Components of candidates are then linked by their sets, each component in one task, or in one for each
+pair of its blocks of about ``BLOCK`` shingles, so that no row is made for a pair of texts.
 
 Defined results: null text is empty text; texts without words have fingerprint zero and link like any other; repeated
 rows share a fingerprint and a component; a null id never names a component that has another id; an empty table gives
@@ -20,6 +22,7 @@ an empty result; input columns of any name are carried in one struct and cannot
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -49,6 +52,11 @@ def shingle_hashes(text: str | None, words: int = WORDS) -> list[int]:
     return [xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, ends[words - 1 :].tolist())]
 
 
+def distinct_shingles(text: str | None, words: int) -> np.ndarray:
+    """The set of shingle_hashes, sorted."""
+    return np.unique(np.array(shingle_hashes(text, words), dtype="<u8"))
+
+
 def fingerprint(text: str | None, words: int = WORDS) -> int:
     """The fingerprint as a signed 64-bit number."""
     hashes = np.array(shingle_hashes(text, words), dtype="<u8")
@@ -165,6 +173,7 @@ def _link(radius: int, tile: int):
 
 
 LANES, CHUNK = 4, 8192
+BLOCK = 1 << 20  # shingles of one candidate component that are held together, twice
 _ODD = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
@@ -286,19 +295,94 @@ def similar_links(values: DataFrame, similarity: float) -> DataFrame:
     return spread.select("na", "wa", F.when(~own, F.col("nb")).alias("nb"), F.when(~own, F.col("wb")).alias("wb")).mapInArrow(_link_chunks(first, whole), "a long, b long")
 
 
+def link_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """sets: distinct hashes, none empty. The place of each one's root in the components of Jaccard similarity or more.
+
+    A set at a time is compared with all of fitting size that are not joined to it; those of the largest component need no turn."""
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    sizes = np.array([len(sets[i]) for i in order], dtype=np.int64)
+    vocabulary, codes = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    parent, done, mine = np.arange(len(sets)), np.zeros(len(sets), dtype=bool), np.zeros(len(vocabulary), dtype=np.uint8)
+    while True:
+        turn = np.flatnonzero(~done & (parent != np.argmax(np.bincount(parent))))
+        if not len(turn):
+            break
+        i = int(turn[0])
+        done[i] = True
+        n = sizes[i]
+        lo, hi = np.searchsorted(sizes, [np.ceil(similarity * n - 1e-9), np.floor(n / similarity + 1e-9) + 1])
+        if (parent[lo:hi] == parent[i]).all():
+            continue
+        own = codes[starts[i] : starts[i] + n]
+        mine[own] = 1
+        both = np.add.reduceat(mine[codes[starts[lo] : starts[hi - 1] + sizes[hi - 1]]], starts[lo:hi] - starts[lo], dtype=np.int64)
+        mine[own] = 0
+        met = np.unique(parent[lo:hi][both / (n + sizes[lo:hi] - both) >= similarity])
+        parent[np.isin(parent, met)] = met[0]
+    root = np.empty(len(sets), dtype=np.int64)
+    root[order] = order[parent]
+    return root
+
+
+def _link_sets(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges() -> pa.RecordBatch:
+            root = link_sets(sets, similarity)
+            node = np.array(nodes, dtype=np.int64)
+            own = node != node[root]
+            return pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[root[own]])], names=["a", "b"])
+
+        of, nodes, sets = None, [], []
+        for batch in batches:
+            for r, unit in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+                if unit != of and nodes:
+                    yield edges()
+                    nodes, sets = [], []
+                of = unit
+                nodes.append(batch.column(3)[r].as_py())
+                sets.append(np.frombuffer(batch.column(4)[r].as_py(), dtype="<u8"))
+        if nodes:
+            yield edges()
+
+    return run
+
+
+def verified_links(texts: DataFrame, candidates: DataFrame, values: DataFrame, words: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """texts: id, th, t. candidates: node, root. values: node, first (id, th), n. Edges a, b whose contraction has the
+    components of all pairs in one candidate component whose distinct shingles have that Jaccard similarity or more."""
+
+    @F.pandas_udf("binary")
+    def distinct(found: pd.Series) -> pd.Series:
+        return pd.Series([distinct_shingles(x, words).tobytes() for x in found])
+
+    members = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct()).join(values.select("node", "first", "n"), "node")
+    blocks = members.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"))
+    placed = materialize(members.join(blocks, "root").select("node", "root", "first.id", "first.th", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")))
+    held = texts.join(placed, ["id", "th"]).dropDuplicates(["id", "th"]).select("root", "node", "blocks", "block", distinct("t").alias("set"))
+    other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: (F.col("blocks") == 1) | (k != F.col("block")))
+    units = held.select("root", "node", "block", "set", F.explode(other).alias("other"))
+    units = units.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "set")
+    return units.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(_link_sets(similarity), "a long, b long")
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each component of similar texts, that of the smallest id (then of the least hash of the text), with
     the columns of docs; of rows equal in id and text, one."""
 
-    @F.pandas_udf("binary")
-    def wide(texts: pd.Series) -> pd.Series:
-        return pd.Series([wide_fingerprint(x, words) for x in texts])
+    @F.pandas_udf("wide binary, node long, n long")
+    def wide(texts: pd.Series) -> pd.DataFrame:
+        sets = [distinct_shingles(x, words) for x in texts]
+        nodes = [int.from_bytes(blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) for x in sets]
+        return pd.DataFrame({"wide": [wide_fingerprint(x, words) for x in texts], "node": pd.Series(nodes, dtype="int64"), "n": pd.Series(map(len, sets), dtype="int64")})
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = lambda df: df.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("th"), F.col(text_col).alias("t"))
-    rows = materialize(key(docs).select("id", "th", wide("t").alias("wide")))
-    values = materialize(rows.groupBy("wide").agg(F.min(F.struct("id", "th")).alias("first")).withColumn("node", F.xxhash64("wide")))
-    of = components(similar_links(values.select("node", "wide"), similarity)).filter("node <> root")
+    rows = materialize(key(docs).select("id", "th", wide("t").alias("x")).select("id", "th", "x.*"))
+    values = materialize(rows.groupBy("node", "n").agg(F.min(F.struct("id", "th", "wide")).alias("x")).select("node", "n", F.struct("x.id", "x.th").alias("first"), "x.wide"))
+    able = values.filter(F.col("n") / (F.col("n") + 1) >= similarity)  # fewer shingles: similar to equal sets only, which are one node
+    near = components(similar_links(able.select("node", "wide"), similarity)).filter("node <> root")
+    of = components(verified_links(key(docs).select("id", "th", "t"), near, values, words, similarity)).filter("node <> root")
     roots = values.join(of, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("keep"))
     keep = materialize(roots.select("keep.id", "keep.th"))
     times = rows.groupBy("id", "th").count()
