@@ -8,10 +8,10 @@ are pairs that are one component already; the others are compared whole by exclu
 one edge for each value at most (to its local root), and star contraction joins the edges into components.
 
 ``deduplicate`` links by the exact Jaccard similarity of the sets of distinct shingles (five words) instead. Candidates
-come from wide fingerprints (``LANES`` x 64 bits), whose differing bits estimate the angle between the shingles. Such radii
-leave no block to agree in, so all tile pairs are compared but those that population counts rule out: chunks sorted by
-the population count of the first 64 bits, a row for each pair of chunks, and in it tiles; a pair's first 64 bits are
-compared first. Components of candidates are then linked by their sets, each component in one task, or in one for each
+come from wide fingerprints of the same sets (``LANES`` x 64 bits), whose differing bits estimate the angle between them,
+``DEVIATIONS`` beyond what is expected of the least similar pair. Such radii leave no block to agree in, so all tile pairs
+are compared but those that set sizes rule out: chunks sorted by set size, a row for each pair of chunks, and in it
+tiles; a pair's first 64 bits are compared first. Components of candidates are then linked by their sets, each component in one task, or in one for each
 pair of its blocks of about ``BLOCK`` shingles, so that no row is made for a pair of texts.
 
 Defined results: null text is empty text; texts without words have fingerprint zero and link like any other; repeated
@@ -22,7 +22,9 @@ an empty result; input columns of any name are carried in one struct and cannot
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from hashlib import blake2b
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -172,14 +174,17 @@ def _link(radius: int, tile: int):
     return run
 
 
-LANES, CHUNK = 4, 8192
+LANES, CHUNK, DEVIATIONS = 4, 8192, 4
 BLOCK = 1 << 20  # shingles of one candidate component that are held together, twice
 _ODD = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
 def wide_fingerprint(text: str | None, words: int) -> bytes:
-    """LANES fingerprints side by side, of the shingles' hashes and of LANES - 1 mixtures of them; little-endian."""
-    hashes = np.array(shingle_hashes(text, words), dtype="<u8")
+    """LANES fingerprints side by side, of the distinct shingles' hashes and of LANES - 1 mixtures of them; little-endian."""
+    return wide_of(distinct_shingles(text, words))
+
+
+def wide_of(hashes: np.ndarray) -> bytes:
     out = []
     for lane in range(LANES):
         if not len(hashes):
@@ -197,12 +202,26 @@ def wide_fingerprint(text: str | None, words: int) -> bytes:
     return np.concatenate(out).tobytes()
 
 
+def _differ(both: int, a: int, b: int) -> float:
+    """Chance that a bit differs between two sets of that many common and own shingles; even counts of ones are zero."""
+
+    def one(k: int, own: int) -> float:
+        return sum(comb(own, x) for x in range(own + 1) if 2 * (k + x) > both + own) / 2**own
+
+    chances = [(comb(both, k) / 2**both, one(k, a), one(k, b)) for k in range(both + 1)]
+    return sum(p * (x * (1 - y) + y * (1 - x)) for p, x, y in chances)
+
+
+@cache
 def radii(similarity: float) -> tuple[int, int]:
-    """Most differing bits of the first 64 and of all bits for two sets of that Jaccard similarity: the expected number
-    by the angle of the sets, and three deviations more for the first 64, half a one more for all."""
+    """Most differing bits of the first 64 and of all bits for candidates of that Jaccard similarity: the expected number
+    and DEVIATIONS more. The share expected is that of the angle of two sets of one size, or of small sets if more."""
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    n = 64 * LANES
-    return int(64 * share + 3 * np.sqrt(64 * share * (1 - share))), int(n * share + 0.5 * np.sqrt(n * share * (1 - share)))
+    for whole in range(2, 41):
+        least = next(k for k in range(whole + 1) if k / whole >= similarity)
+        share = max(share, *(_differ(least, a, whole - least - a) for a in range(whole - least + 1)))
+    most = [int(n * share + DEVIATIONS * np.sqrt(n * share * (1 - share))) for n in (64, 64 * LANES)]
+    return most[0], most[1]
 
 
 def _union(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -215,15 +234,18 @@ def _union(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         np.minimum.at(parent, hi, lo)
 
 
-def link_chunks(a: np.ndarray, b: np.ndarray | None, first: int, whole: int, tile: int = TILE) -> np.ndarray:
-    """a, b: rows of LANES unsigned words, sorted by population count of the first. b None: a with itself. The place of each row's root, rows of a before those of b."""
+def link_chunks(a: np.ndarray, b: np.ndarray | None, first: int, whole: int, tile: int = TILE, sizes: list[np.ndarray] | None = None, similarity: float = 0.0) -> np.ndarray:
+    """a, b: rows of LANES unsigned words, sorted by population count of the first, or by the sizes of their sets where
+    these are given. b None: a with itself. The place of each row's root, rows of a before those of b."""
     both = a if b is None else np.concatenate([a, b])
     at = 0 if b is None else len(a)
     y = a if b is None else b
-    pops, y_pops = np.bitwise_count(a[:, 0]).astype(np.int64), np.bitwise_count(y[:, 0]).astype(np.int64)
+    keys, y_keys = (sizes[0], sizes[-1]) if sizes else (np.bitwise_count(x[:, 0]).astype(np.int64) for x in (a, y))
     parent = np.arange(len(both))
     for s in range(0, len(a), tile):
-        lo, hi = np.searchsorted(y_pops, [pops[s] - first, pops[min(s + tile, len(a)) - 1] + first + 1])
+        least, most = keys[s], keys[min(s + tile, len(a)) - 1]
+        reach = [np.ceil(similarity * least - 1e-9), np.floor(most / similarity + 1e-9) + 1] if sizes else [least - first, most + first + 1]
+        lo, hi = np.searchsorted(y_keys, reach)
         lo = max(int(lo), s) if b is None else int(lo)
         i, j = np.nonzero(np.bitwise_count(a[s : s + tile, :1] ^ y[None, lo:hi, 0]) <= first)
         i, j = i + s, j + lo
@@ -235,39 +257,37 @@ def link_chunks(a: np.ndarray, b: np.ndarray | None, first: int, whole: int, til
 
 
 def _pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows node, wide, sorted; a row for each CHUNK of them."""
+    """Rows node, n, wide, sorted by n; a row for each CHUNK of them."""
     number = TaskContext.get().partitionId() << 32
-    nodes: list[np.ndarray] = []
+    held = np.zeros((2, 0), dtype="<i8")
     wides: list[bytes] = []
 
     def out(k: int) -> pa.RecordBatch:
-        nonlocal number, nodes, wides
-        all_nodes = np.concatenate(nodes)
-        raw = b"".join(wides[:k])
-        pops = np.bitwise_count(np.frombuffer(raw, dtype="<u8").reshape(-1, LANES)[:, 0])
+        nonlocal number, held, wides
+        nodes, sizes = held[:, :k]
         row = pa.RecordBatch.from_arrays(
-            [pa.array([number]), pa.array([int(pops.min())]), pa.array([int(pops.max())]), pa.array([all_nodes[:k].astype("<i8").tobytes()]), pa.array([raw])], names=["chunk", "least", "most", "nodes", "wides"]
+            [pa.array([x]) for x in (number, int(sizes[0]), int(sizes[-1]), nodes.tobytes(), sizes.tobytes(), b"".join(wides[:k]))], names=["chunk", "least", "most", "nodes", "sizes", "wides"]
         )
-        number, nodes, wides = number + 1, [all_nodes[k:]], wides[k:]
+        number, held, wides = number + 1, held[:, k:], wides[k:]
         return row
 
     for batch in batches:
-        nodes.append(batch.column(0).to_numpy())
-        wides.extend(batch.column(1).to_pylist())
+        held = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in range(2)])], axis=1)
+        wides.extend(batch.column(2).to_pylist())
         while len(wides) >= CHUNK:
             yield out(CHUNK)
     if wides:
         yield out(len(wides))
 
 
-def _link_chunks(first: int, whole: int):
+def _link_chunks(first: int, whole: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                na, wa, nb, wb = (batch.column(c)[r].as_py() for c in range(4))
-                nodes = [np.frombuffer(x, dtype="<i8") for x in (na, nb) if x is not None]
+                na, sa, wa, nb, sb, wb = (batch.column(c)[r].as_py() for c in range(6))
+                nodes, sizes = ([np.frombuffer(x, dtype="<i8") for x in pair if x is not None] for pair in ((na, nb), (sa, sb)))
                 wide = [np.frombuffer(x, dtype="<u8").reshape(-1, LANES) for x in (wa, wb) if x is not None]
-                root = link_chunks(wide[0], wide[1] if len(wide) > 1 else None, first, whole)
+                root = link_chunks(wide[0], wide[1] if len(wide) > 1 else None, first, whole, sizes=sizes, similarity=similarity)
                 node = np.concatenate(nodes)
                 own = root != np.arange(len(root))
                 yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[root[own]])], names=["a", "b"])
@@ -276,23 +296,24 @@ def _link_chunks(first: int, whole: int):
 
 
 def similar_links(values: DataFrame, similarity: float) -> DataFrame:
-    """values: node (long), wide (binary), distinct. Edges a, b whose contraction has the components of all similar pairs."""
+    """values: node (long), n (size of its set), wide (binary), distinct. Edges a, b whose contraction has the components of all candidate pairs."""
     first, whole = radii(similarity)
     parts = max(1, values.count() // CHUNK)
-    pop = F.bit_count(F.conv(F.hex(F.substring("wide", 1, 4)), 16, 10).cast("long")) + F.bit_count(F.conv(F.hex(F.substring("wide", 5, 4)), 16, 10).cast("long"))
-    dealt = values.withColumn("pop", pop).repartitionByRange(parts, "pop", "node").sortWithinPartitions("pop", "node")
-    chunks = materialize(dealt.select("node", "wide").mapInArrow(_pack_chunks, "chunk long, least long, most long, nodes binary, wides binary"))
-    # which chunks meet: by their population counts, at most 65 of them, so that this stays an equi-join on small rows
+    dealt = values.repartitionByRange(parts, "n", "node").sortWithinPartitions("n", "node")
+    chunks = materialize(dealt.select("node", "n", "wide").mapInArrow(_pack_chunks, "chunk long, least long, most long, nodes binary, sizes binary, wides binary"))
+    # which chunks meet: similar sets' sizes are one step of this scale apart at most (two with rounding), so that this stays an equi-join on small rows
+    step = lambda n: F.floor(F.log(n) / F.lit(-float(np.log(similarity)))).cast("int")
     span = chunks.select("chunk", "least", "most")
-    reach = span.select(F.col("chunk").alias("c1"), F.col("most").alias("most1"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("least") - first), F.least(F.lit(64), F.col("most") + first))).alias("pop"))
-    holds = span.select(F.col("chunk").alias("c2"), F.explode(F.sequence("least", "most")).alias("pop"))
-    pairs = reach.join(holds, "pop").filter("c1 <= c2").select("c1", "c2").distinct()
-    left = chunks.select(F.col("chunk").alias("c1"), F.col("nodes").alias("na"), F.col("wides").alias("wa"))
-    right = chunks.select(F.col("chunk").alias("c2"), F.col("nodes").alias("nb"), F.col("wides").alias("wb"))
+    reach = span.select(F.col("chunk").alias("c1"), F.col("least").alias("least1"), F.col("most").alias("most1"), F.explode(F.sequence(step(F.col("least")) - 2, step(F.col("most")) + 2)).alias("step"))
+    holds = span.select(F.col("chunk").alias("c2"), F.col("least").alias("least2"), F.col("most").alias("most2"), F.explode(F.sequence(step(F.col("least")), step(F.col("most")))).alias("step"))
+    fit = (F.col("most2") >= F.col("least1") * similarity - 1e-9) & (F.col("most1") >= F.col("least2") * similarity - 1e-9)
+    pairs = reach.join(holds, "step").filter("c1 <= c2").filter(fit).select("c1", "c2").distinct()
+    left = chunks.select(F.col("chunk").alias("c1"), F.col("nodes").alias("na"), F.col("sizes").alias("sa"), F.col("wides").alias("wa"))
+    right = chunks.select(F.col("chunk").alias("c2"), F.col("nodes").alias("nb"), F.col("sizes").alias("sb"), F.col("wides").alias("wb"))
     met = pairs.join(left, "c1").join(right, "c2")
-    own = F.col("c1") == F.col("c2")
+    other = lambda c: F.when(F.col("c1") != F.col("c2"), F.col(c)).alias(c)
     spread = met.repartition(F.xxhash64("c1", "c2"))
-    return spread.select("na", "wa", F.when(~own, F.col("nb")).alias("nb"), F.when(~own, F.col("wb")).alias("wb")).mapInArrow(_link_chunks(first, whole), "a long, b long")
+    return spread.select("na", "sa", "wa", other("nb"), other("sb"), other("wb")).mapInArrow(_link_chunks(first, whole, similarity), "a long, b long")
 
 
 def link_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -374,14 +395,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def wide(texts: pd.Series) -> pd.DataFrame:
         sets = [distinct_shingles(x, words) for x in texts]
         nodes = [int.from_bytes(blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) for x in sets]
-        return pd.DataFrame({"wide": [wide_fingerprint(x, words) for x in texts], "node": pd.Series(nodes, dtype="int64"), "n": pd.Series(map(len, sets), dtype="int64")})
+        return pd.DataFrame({"wide": [wide_of(x) for x in sets], "node": pd.Series(nodes, dtype="int64"), "n": pd.Series(map(len, sets), dtype="int64")})
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = lambda df: df.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("th"), F.col(text_col).alias("t"))
     rows = materialize(key(docs).select("id", "th", wide("t").alias("x")).select("id", "th", "x.*"))
     values = materialize(rows.groupBy("node", "n").agg(F.min(F.struct("id", "th", "wide")).alias("x")).select("node", "n", F.struct("x.id", "x.th").alias("first"), "x.wide"))
     able = values.filter(F.col("n") / (F.col("n") + 1) >= similarity)  # fewer shingles: similar to equal sets only, which are one node
-    near = components(similar_links(able.select("node", "wide"), similarity)).filter("node <> root")
+    near = components(similar_links(able.select("node", "n", "wide"), similarity)).filter("node <> root")
     of = components(verified_links(key(docs).select("id", "th", "t"), near, values, words, similarity)).filter("node <> root")
     roots = values.join(of, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("keep"))
     keep = materialize(roots.select("keep.id", "keep.th"))

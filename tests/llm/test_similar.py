@@ -82,3 +82,29 @@ def test_blocks_lose_no_pair(spark):
     texts = df.selectExpr("doc_id as id", "0L as th", "text as t")
     of = {r["node"]: r["root"] for r in simhash.components(simhash.verified_links(texts, one, values, 5, 0.8, block=1000)).collect()}
     assert sorted({of.get(i, i) for i in range(60)}) == expected
+
+
+def test_no_similar_pair_is_missed(spark):
+    """Long texts just above 0.8, short ones, and texts that repeat a passage another has once: all are linked."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        n, k = ((1000, 20), (200, 4), (8, 0))[i % 3]
+        base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(changed(rng, base, k) if k else [*base, "end"]))]
+    for i in range(60, 65):
+        passage, rest = ([f"w{rng.randrange(5000)}" for _ in range(n)] for n in (50, 200))
+        rows += [(2 * i, " ".join(passage + rest)), (2 * i + 1, " ".join(passage * 12 + rest))]
+    expected = kept({i: shingles(t) for i, t in rows})
+    assert 65 <= len(expected) < 90
+    out = simhash.deduplicate(spark.createDataFrame([(*r, "s") for r in rows], SCHEMA))
+    assert sorted(r["doc_id"] for r in out.collect()) == expected
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_stage_against_brute_force(spark):
+    docs = corpus_pipeline.exact_dedup_stage(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "").localCheckpoint()
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    expected = kept({r["doc_id"]: shingles((r["text"] or "").translate(lower)) for r in docs.collect()})
+    out = corpus_pipeline.near_dedup_stage(spark, docs, "")
+    assert sorted(r["doc_id"] for r in out.collect()) == expected
