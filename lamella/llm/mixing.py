@@ -2,9 +2,9 @@
 
 Sizes are exact word counts. The targets come from the sources' totals: each share of the whole mix stops at ``cap``
 times the source, and the excess is shared again by weight. A source takes all its documents ``floor(target / size)``
-times; for the budget that remains, its documents are counted by exact size, every size gives its proportional share,
-and a bounded-knapsack dynamic program (binary splitting over bit sets) over the counts that are left closes the gap,
-to the word where some subset does. A size's documents are taken in the order of a seeded hash: the counts of 256 hash
+times; for the budget that remains, its documents are counted by exact size, every size gives its proportional share
+(rounded so that no run of sizes is a whole document off), and a bounded-knapsack dynamic program (binary splitting over
+bit sets) over the counts that are left closes the gap of about ``RESERVE`` mean documents, to the word where some subset does. A size's documents are taken in the order of a seeded hash: the counts of 256 hash
 buckets say which buckets go in whole, and only the bucket at the edge is ranked, so no size or source gathers in a task.
 
 Defined results: null text has size 0; a document of size 0 takes 0 words and stays once in the repeated form; a null
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lamella.llm.common import table, word_count
 
-WEIGHTS, SHARE, CAP, SEED, BUCKETS, MAX_SOURCES, REACH = (5, 2, 1), 1.5, 2, 20, 256, 100_000, 1 << 16
+WEIGHTS, SHARE, CAP, SEED, BUCKETS, MAX_SOURCES, REACH, RESERVE = (5, 2, 1), 1.5, 2, 20, 256, 100_000, 1 << 16, 4
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, cap: float = CAP) -> list[float]:
@@ -50,6 +50,18 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, reach: int =
         return np.zeros_like(counts)
     take = np.array([int(c) * budget // total for c in counts.tolist()], dtype=np.int64)
     rest = budget - int((take * sizes).sum())
+    rising = np.argsort(sizes, kind="stable").tolist()
+    sums, over = total // 2, []  # of the shares' remainders: where they pass a whole one, that size gives one more
+    for i in rising:
+        left = int(counts[i]) * budget % total
+        if (sums + left) // total > sums // total:
+            over.append(i)
+        sums += left
+    keep = RESERVE * total // int(counts.sum())
+    for i in np.random.default_rng(SEED).permutation(np.array(over, dtype=np.int64)).tolist():
+        if rest - int(sizes[i]) >= keep:
+            take[i] += 1
+            rest -= int(sizes[i])
     free = counts - take
     order = [int(i) for i in np.argsort(-sizes, kind="stable") if sizes[i] > 0]
     for i in order:  # what no table of this width holds goes to the longest documents first
