@@ -3,11 +3,13 @@
 Every partition tokenizes its documents, cuts those of more than ``capacity`` tokens, and packs its pieces best-fit,
 longest first. Bins filled to ``nearly_full`` are final. The others become items: a tree merges the partitions by
 ``fan_in``, and each round packs the underfull bins of the partitions it joined best-fit again, until one partition is
-left or it would hold more than ``max_items`` bins. Only (bin, fill) pairs move; pieces learn their last bin by one join.
+left. Where one would hold more than ``max_items`` bins there are more, dealt anew each round, until a round saves less than
+one bin in a hundred (of middling bins that no two of fit together, no more can be saved). Only (bin, fill) pairs move;
+pieces learn their last bin by one join.
 
 Defined results: null text is empty text and gives one token; repeated rows are documents of their own; a table with no
 rows gives no pieces; very long documents are cut, never shortened; a null id is carried through. Memory in a task: the
-pieces of at most ``chunk`` documents, and a bounded cache of words.
+pieces of at most ``chunk`` documents and one text, one portion of texts, and a cache of words of bounded size.
 """
 
 from __future__ import annotations
@@ -22,21 +24,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm.common import materialize, table
+from lamella.llm.common import give_back, materialize, table
 
 CAPACITY, NEARLY_FULL, FAN_IN, MAX_ITEMS, CHUNK = 2048, 0.995, 8, 2_000_000, 100_000
 END_ID = 0
-CACHE_WORDS = 300_000
-PORTION = 8_000_000
+CACHE_WORDS, CACHED_WORD = 80_000, 32  # of a generation (about 15 MB); longer words are not kept
+PORTION = 6_000_000
 CLOSING = ".,;:!?"
+#: Words whose letters are encoded apart from closing punctuation: the last letter is in lower case, so that neither
+#: lower-casing nor composing can end it with a mark, which the tokenizer would keep with the punctuation.
+STEM = r"^\p{L}*\p{Ll}$"
 
 
 class WordIds:
     """Little-endian 32-bit ids of texts, word by word: this tokenizer drops white space and never joins text across it.
 
     Of a word of letters with closing punctuation the letters and the punctuation are encoded apart, as the tokenizer
-    splits them there. Ids seen before are kept in two generations of CACHE_WORDS; what is used moves to the young one, and
-    the old one goes when that is full. New ones are encoded together, between end signs.
+    splits them there. Ids of words that a portion has more than once are kept, in two generations: what is used moves to the
+    young one, and the old one goes when that has CACHE_WORDS. New ones are encoded together, between end signs.
     """
 
     def __init__(self, path: str):
@@ -44,54 +49,96 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = "<|endoftext|>"
-        self.mark_id = self.tokenizer.token_to_id(self.mark)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes, self.marks = (np.zeros(max(vocabulary.values()) + 1, dtype=bool) for _ in range(2))
+        self.closes[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        self.marks[vocabulary[self.mark]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _together(self, texts: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode_batch_fast([f" {self.mark} ".join(texts)], add_special_tokens=False)[0].ids, dtype="<u4")
-        at = 4 * np.flatnonzero(ids == self.mark_id)
-        if len(at) + 1 != len(texts):
+    def _cut(self, texts: list[str], between: str, last: np.ndarray, kept: int) -> list[bytes]:
+        """Ids of texts, encoded at once. last: which ids end a text; kept: whether that id is the text's own."""
+        ids = np.array(self.tokenizer.encode_batch_fast([between.join(texts)], add_special_tokens=False)[0].ids, dtype="<u4")
+        at = 4 * (np.flatnonzero(last[ids]) + kept)
+        if len(at) + 1 - kept != len(texts):
             return [self._alone(x) for x in texts]
         raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *(at + 4).tolist()], [*at.tolist(), len(raw)])]
-
-    def _known(self, stems: set[str]) -> dict[str, bytes]:
-        """Ids of all these."""
-        if len(self.young) > CACHE_WORDS:
-            self.young, self.old = {}, self.young
+        return [raw[a:b] for a, b in zip([0, *(at + 4 * (1 - kept)).tolist()], at.tolist() if kept else [*at.tolist(), len(raw)])]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """ASCII letters make one token run each, told by the end-of-word sign; others get an end sign between them."""
+        plain = [i for i, x in enumerate(words) if x.isascii() and x.isalpha()]
+        other = [i for i, x in enumerate(words) if not (x.isascii() and x.isalpha())]
+        found: list[bytes] = [b""] * len(words)
+        for some, ids in ((plain, self._cut([words[i] for i in plain], " ", self.closes, 1)), (other, self._cut([words[i] for i in other], f" {self.mark} ", self.marks, 0) if other else [])):
+            for i, x in zip(some, ids):
+                found[i] = x
+        return found
+
+    def _ids(self, words: list[str], again: np.ndarray) -> list[bytes]:
+        """Ids of these distinct words. again: whether a word is likely to come again."""
         young, old = self.young, self.old
-        missing = stems - young.keys()
-        again = missing & old.keys()
-        young.update((x, old[x]) for x in again)
-        missing -= again
-        plain = [x for x in missing if "<|" not in x]
+        found = [young.get(x) for x in words]
+        missing = []
+        for i in [i for i, x in enumerate(found) if x is None]:
+            x = old.get(words[i])
+            if x is None:
+                missing.append(i)
+            else:
+                found[i] = young[words[i]] = x
+        plain = [i for i in missing if "<|" not in words[i]]
         for at in range(0, len(plain), 4000):
-            young.update(zip(plain[at : at + 4000], self._together(plain[at : at + 4000])))
-        young.update((x, self._alone(x)) for x in missing if "<|" in x)
-        return young
+            some = plain[at : at + 4000]
+            for i, x in zip(some, self._together([words[i] for i in some])):
+                found[i] = x
+        for i in missing:
+            if found[i] is None:
+                found[i] = self._alone(words[i])
+            if again[i] and len(words[i]) <= CACHED_WORD:
+                young[words[i]] = found[i]
+        if len(young) > CACHE_WORDS:
+            self.young, self.old = {}, young
+        return found
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and where each text's begin, and the end."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = split.flatten().dictionary_encode()
-        words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        stems = [x if x.isalpha() else w for w, x in ((w, w.rstrip(CLOSING)) for w in words)]
-        known = self._known({*stems, *(w[len(x) :] for w, x in zip(words, stems))})
-        found = [known[x] if len(x) == len(w) else known[x] + known[w[len(x) :]] for w, x in zip(words, stems)]
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        starts = np.cumsum(sizes) - sizes
-        ids = np.frombuffer(b"".join(found), dtype="<u4")
-        n = sizes[which]
-        ends = np.r_[0, np.cumsum(n)]
-        flat = ids[np.repeat(starts[which] - ends[:-1], n) + np.arange(ends[-1])]
+        words, which = coded.dictionary, coded.indices.to_numpy()
+        stem = pc.utf8_rtrim(words, CLOSING)
+        apart = pc.match_substring_regex(stem, STEM)
+        # a word's two parts, the second mostly empty
+        first = pc.if_else(apart, stem, words).dictionary_encode()
+        second = pc.if_else(apart, pc.replace_substring_regex(words, r"^\p{L}+", ""), "").dictionary_encode()
+        often = np.bincount(first.indices.to_numpy(), weights=np.bincount(which, minlength=len(words)), minlength=len(first.dictionary)) > 1
+        tails = second.dictionary.to_pylist()
+        ids, starts, sizes = _joined(self._ids(first.dictionary.to_pylist(), often) + self._ids(tails, np.ones(len(tails), dtype=bool)))
+        parts = np.stack([first.indices.to_numpy(), second.indices.to_numpy() + len(first.dictionary)], axis=1).ravel()
+        of_word, ends = _gather(ids, starts, sizes, parts)
+        flat, ends = _gather(of_word, ends[:-1:2], ends[2::2] - ends[:-1:2], which)
         at = split.offsets.to_numpy().astype(np.int64)
         return flat, ends[at - at[0]]
 
 
+def _joined(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids end to end, and where each word's begin and how many they are."""
+    sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+    return np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(sizes) - sizes, sizes
+
+
+def _gather(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of these items one after the other, and where each one's begin, and the end."""
+    n = sizes[which]
+    ends = np.zeros(len(n) + 1, dtype=np.int64)
+    np.cumsum(n, out=ends[1:])
+    at = np.repeat(starts[which] - ends[:-1], n)
+    at += np.arange(ends[-1])
+    return ids[at], ends
+
+
 _word_ids: dict[str, WordIds] = {}  # of this Python worker, which serves many tasks
 
 
@@ -140,40 +187,53 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"
 MERGED = "bin long, parent long, shift long, fill long"
+LEVELS = 15  # of merging; numbers of bins hold four bits for them
+
+
+def _pieces(doc_ids: pa.Array, ids: np.ndarray, at: np.ndarray, capacity: int) -> pa.RecordBatch:
+    """Pieces of documents whose ids lie end to end; each document's end sign comes after its ids."""
+    n = np.diff(at) + 1
+    count = -(-n // capacity)
+    doc = np.repeat(np.arange(len(n)), count)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    start = piece * capacity
+    length = np.minimum(capacity, n[doc] - start)
+    a = at[doc] + start
+    z = np.minimum(a + length, at[doc + 1])
+    raw, end = memoryview(np.ascontiguousarray(ids)).cast("B"), np.array([END_ID], dtype="<u4").tobytes()
+    crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(a.tolist(), z.tolist())]
+    for i in np.flatnonzero(start + length == n[doc]).tolist():
+        crc[i] = zlib.crc32(end, crc[i])
+    return pa.RecordBatch.from_arrays([doc_ids.take(pa.array(doc)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
 def _pack_texts(tokenizer_path: str, capacity: int, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, first = word_ids(tokenizer_path).of, TaskContext.get().partitionId() << 36
-        held: list[tuple] = []
-        end = np.array([END_ID], dtype="<u4").tobytes()
+        held: list[pa.RecordBatch] = []
 
-        def flush():
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal first
-            sizes = np.array([x[3] for x in held], dtype=np.int64)
-            bins, offsets, fills = best_fit(sizes, capacity)
-            columns = [*map(list, zip(*held)), bins + first, offsets, np.array(fills, dtype=np.int64)[bins]]
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            names = ("doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "fill")
+            bins, offsets, fills = best_fit(np.concatenate([x.column(3).to_numpy() for x in held]), capacity)
+            fill = np.array(fills, dtype=np.int64)[bins]
+            done = 0
+            for x in held:
+                own = slice(done, done + x.num_rows)
+                done = own.stop
+                yield pa.RecordBatch.from_arrays([*x.columns, *(pa.array(c[own], pa.int64()) for c in (bins + first, offsets, fill))], names=[*x.schema.names, "bin", "offset", "fill"])
             first += len(fills)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
         for batch in batches:
-            doc_ids = iter(batch.column(0).to_pylist())
+            done = 0
             for texts in _portions(batch.column(1)):
-                ids, at = ids_of(texts)
-                raw = memoryview(np.ascontiguousarray(ids)).cast("B")
-                for a, z in zip(at[:-1].tolist(), at[1:].tolist()):
-                    doc_id, n = next(doc_ids), z - a + 1
-                    for k, s in enumerate(range(0, n, capacity)):
-                        length = min(capacity, n - s)
-                        crc = zlib.crc32(raw[4 * (a + s) : 4 * min(a + s + length, z)])
-                        held.append((doc_id, k, s, length, zlib.crc32(end, crc) if s + length == n else crc))
-                if len(held) >= chunk:
-                    yield flush()
+                held.append(_pieces(batch.column(0).slice(done, len(texts)), *ids_of(texts), capacity))
+                done += len(texts)
+                if sum(x.num_rows for x in held) >= chunk:
+                    yield from flush()
         if held:
-            yield flush()
+            yield from flush()
+        give_back()
 
     return run
 
@@ -187,7 +247,7 @@ def _pack_bins(capacity: int, level: int):
         order = np.argsort(ids, kind="stable")
         ids, sizes = ids[order], sizes[order]
         bins, offsets, fills = best_fit(sizes, capacity)
-        first = (level << 60) + (TaskContext.get().partitionId() << 36)
+        first = (level << 59) + (TaskContext.get().partitionId() << 36)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, bins + first, offsets, np.array(fills, dtype=np.int64)[bins])], names=["bin", "parent", "shift", "fill"])
 
     return run
@@ -204,12 +264,12 @@ def pack(
     parts = max(1, rows.rdd.getNumPartitions())
     last = None  # of the bins that were left underfull: which bin holds them now
     items = pieces.filter((F.col("offset") == 0) & (F.col("fill") < full)).select("bin", "fill")
-    level = 0
-    while True:
-        parts, level = max(1, -(-parts // fan_in)), level + 1
-        if level > 7 or items.count() > parts * max_items:
-            break
-        merged = materialize(items.repartition(parts, F.col("bin") % F.lit(parts)).mapInArrow(_pack_bins(capacity, level), MERGED))
+    left = items.count()
+    for level in range(1, LEVELS + 1):
+        before, parts = parts, max(-(-parts // fan_in), -(-left // max_items), 1)
+        # partitions that merge are neighbours; where none can, for the number of items, they are dealt anew each round
+        own = F.shiftright("bin", 36).bitwiseAND(F.lit((1 << 23) - 1)) if parts < before else F.xxhash64("bin", F.lit(level))
+        merged = materialize(items.repartition(parts, F.pmod(own, F.lit(parts))).mapInArrow(_pack_bins(capacity, level), MERGED))
         if last is None:
             last = merged
         else:
@@ -217,7 +277,8 @@ def pack(
             joined = last.join(up, "parent", "left")
             last = joined.select("bin", F.coalesce("up", "parent").alias("parent"), (F.col("shift") + F.coalesce("by", F.lit(0))).alias("shift"))
         items = merged.filter((F.col("shift") == 0) & (F.col("fill") < full)).select(F.col("parent").alias("bin"), "fill")
-        if parts == 1:
+        had, left = left, items.count()
+        if parts == 1 or (parts >= before and left > 0.99 * had):
             break
     if last is not None:
         pieces = pieces.join(last.select("bin", "parent", "shift"), "bin", "left")

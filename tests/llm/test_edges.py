@@ -258,6 +258,25 @@ def test_packing(spark):
     assert [ids[a:z].tolist() for a, z in zip(at, at[1:])] == expected
 
 
+def test_word_ids_are_the_tokenizers():
+    rng = random.Random(5)
+    ids_of = packing.word_ids(packing.default_tokenizer())
+    signs = ["a", "B", "é", "İ", "ı", "ß", "Σ", "ς", "Ⅷ", "한", "ñ", "\u0301", "\u0307", "\u200d", "\u00a0", "\x1c", "\x85", ".", ",", ";", "!", "'s", "<|endoftext|>", "<|", "1", "²", "\u0958", "ﬁ", "ǅ", "\u2126", "\u212a", "👨‍👩", "</w>", "ŉ", "ẞ", "שׁ", "the", "Hello"]
+    word = lambda: "".join(rng.choices(signs, k=rng.randint(1, 5))) + rng.choice(["", "", ".", ",", "!?", "...", ":,"])
+    texts = [rng.choice([" ", "  ", "\n", "\t "]).join(word() for _ in range(rng.randint(0, 6))) for _ in range(5000)] + ["ABİ, x", "İ.", "x" * 100 + "."]
+    ids, at = ids_of.of(pa.array(texts))
+    assert [ids[a:z].tolist() for a, z in zip(at, at[1:])] == [ids_of.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_packing_of_middling_bins_ends(spark):
+    import public_tokenizers
+
+    rows = [(None if i % 7 == 0 else i, " ".join(["the"] * (1200 if i % 3 else 400))) for i in range(90)]
+    out = packing.pack(docs(spark, rows).repartition(9), public_tokenizers.path("word_bpe_49k.json"), max_items=4, fan_in=2).toPandas()
+    assert len(out) == 90 and out.doc_id.isna().sum() == 13 and (out.groupby("sequence_id").length.sum() <= 2048).all()
+    assert out.sequence_id.nunique() <= 62  # 60 long ones that share with nothing but two short ones each
+
+
 def test_packing_merges_underfull_bins(spark):
     import public_tokenizers
 
