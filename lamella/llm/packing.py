@@ -14,8 +14,10 @@ pieces of at most ``chunk`` documents and one text, one portion of texts, and a
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ CAPACITY, NEARLY_FULL, FAN_IN, MAX_ITEMS, CHUNK = 2048, 0.995, 8, 2_000_000, 100
 END_ID = 0
 CACHE_WORDS, CACHED_WORD = 80_000, 32  # of a generation (about 15 MB); longer words are not kept
 PORTION = 6_000_000
-CLOSING = ".,;:!?"
+CLOSING = string.punctuation
 #: Words whose letters are encoded apart from closing punctuation: the last letter is in lower case, so that neither
 #: lower-casing nor composing can end it with a mark, which the tokenizer would keep with the punctuation.
 STEM = r"^\p{L}*\p{Ll}$"
@@ -69,11 +71,13 @@ class WordIds:
         return [raw[a:b] for a, b in zip([0, *(at + 4 * (1 - kept)).tolist()], at.tolist() if kept else [*at.tolist(), len(raw)])]
 
     def _together(self, words: list[str]) -> list[bytes]:
-        """ASCII letters make one token run each, told by the end-of-word sign; others get an end sign between them."""
-        plain = [i for i, x in enumerate(words) if x.isascii() and x.isalpha()]
-        other = [i for i, x in enumerate(words) if not (x.isascii() and x.isalpha())]
+        """Words that are normal letters are one run of tokens each, told by the end-of-word sign; others get an end sign between them."""
+        plain, other = [], []
+        for i, x in enumerate(words):
+            normal = x.isalpha() and (x.isascii() or (x.lower().isalpha() and is_normalized("NFC", x)))
+            (plain if normal else other).append(i)
         found: list[bytes] = [b""] * len(words)
-        for some, ids in ((plain, self._cut([words[i] for i in plain], " ", self.closes, 1)), (other, self._cut([words[i] for i in other], f" {self.mark} ", self.marks, 0) if other else [])):
+        for some, ids in ((plain, self._cut([words[i] for i in plain], " ", self.closes, 1) if plain else []), (other, self._cut([words[i] for i in other], f" {self.mark} ", self.marks, 0) if other else [])):
             for i, x in zip(some, ids):
                 found[i] = x
         return found
@@ -114,8 +118,8 @@ class WordIds:
         first = pc.if_else(apart, stem, words).dictionary_encode()
         second = pc.if_else(apart, pc.replace_substring_regex(words, r"^\p{L}+", ""), "").dictionary_encode()
         often = np.bincount(first.indices.to_numpy(), weights=np.bincount(which, minlength=len(words)), minlength=len(first.dictionary)) > 1
-        tails = second.dictionary.to_pylist()
-        ids, starts, sizes = _joined(self._ids(first.dictionary.to_pylist(), often) + self._ids(tails, np.ones(len(tails), dtype=bool)))
+        heads, tails = (x.dictionary.to_numpy(zero_copy_only=False).tolist() for x in (first, second))
+        ids, starts, sizes = _joined(self._ids(heads, often) + self._ids(tails, np.ones(len(tails), dtype=bool)))
         parts = np.stack([first.indices.to_numpy(), second.indices.to_numpy() + len(first.dictionary)], axis=1).ravel()
         of_word, ends = _gather(ids, starts, sizes, parts)
         flat, ends = _gather(of_word, ends[:-1:2], ends[2::2] - ends[:-1:2], which)
