@@ -24,14 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def materialize(df: DataFrame, partitions_by: str | None = None) -> DataFrame:
+#: Spark's own setting to drop a query's shuffle files when it ends. What wrote a table needs them no more.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lamella/{uuid.uuid4().hex}"
-    writer = df.write
-    if partitions_by:
-        writer = writer.partitionBy(partitions_by)
-    writer.parquet(path)
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_DROP_SHUFFLES)
+        else:
+            spark.conf.set(_DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

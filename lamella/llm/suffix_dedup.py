@@ -14,13 +14,12 @@ the shuffles; where they fill up they let more through, and nothing is lost. An
 fragments (so many that one index would grow with the input) has its windows compared one by one, grouped by content.
 
 Defined results: null text is empty; texts under ``length`` bytes keep all; rows are ordered by id (null first), then by
-a hash of the text; rows equal in id and text are one document listed twice and get equal results; bytes are removed
-even inside a character; an empty table gives an empty result. Texts of any size are read in pieces of PIECE bytes.
+the text's MD5 digest, and rows that share an id (or have none) and differ in text are documents of their own; rows equal in
+id and text are one document listed twice and get equal results; bytes are removed even inside a character; an empty table gives an empty result. Texts of any size are read in pieces of PIECE bytes.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -102,8 +101,9 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> It
 class RunLengthIndex:
     """Run-compressed BWT of texts, each with an end sign of its own; texts come in order of precedence.
 
-    Kept: run heads and starts, symbol counts before each run, suffix samples at the first and last row of each run,
-    the text (for comparing jumps), and the rows that share fewer than ``length`` symbols with the row above.
+    Kept: run heads and starts, the run of each row, symbol counts before each run, suffix samples at the first and last
+    row of each run, ranks of the text's substrings of 8, 16, 32 and so on symbols (for comparing jumps), and the rows that share fewer
+    than ``length`` symbols with the row above.
     """
 
     END = 256
@@ -112,87 +112,116 @@ class RunLengthIndex:
         sizes = np.array([len(t) + 1 for t in texts])
         self.length, self.ends = length, np.cumsum(sizes) - 1
         n, m = int(sizes.sum()), len(texts)
-        self.text = np.full(n, self.END, dtype=np.int16)
+        text = np.full(n, self.END, dtype=np.int16)
         own = np.ones(n, dtype=bool)
         own[self.ends] = False
-        self.text[own] = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        which = np.repeat(np.arange(m), sizes)
-        left = np.repeat(self.ends, sizes) - np.arange(n)  # symbols before the end sign
-        # first ranks: up to seven symbols in one number; an end sign is 0 and hides what follows
-        wide = min(7, length)
-        symbol = np.where(own, self.text.astype(np.int64) + 1, 0)
-        key = np.zeros(n, dtype=np.int64)
-        for j in range(wide):
-            shifted = np.zeros(n, dtype=np.int64)
-            shifted[: n - j] = symbol[j:]
-            shifted[left < j] = 0
-            key = key * 512 + shifted
-        at = {}
-        rank, h = self._ranks(key), wide
-        at[h] = rank
-        while True:
-            beyond = np.zeros(n, dtype=np.int64)
-            near = left >= h
-            i = np.flatnonzero(near)
-            beyond[i] = rank[i + h] + m
-            beyond[~near] = which[~near]
-            rank, h = self._ranks(rank * (n + m + 1) + beyond), 2 * h
-            at[h] = rank
-            if int(rank.max()) == n - 1:
-                break
-        sa = np.empty(n, dtype=np.int64)
-        sa[rank] = np.arange(n)
-        # rows whose first `length` symbols equal those of the row above: two overlapping powers
-        top = max((x for x in at if x <= length), default=None)
+        text[own] = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        self.left = (np.repeat(self.ends, sizes) - np.arange(n)).astype(np.int32)  # symbols before the end sign
+        sa = self._sort(text, np.repeat(np.arange(m), sizes), m)
         same = np.zeros(n, dtype=bool)
-        if top is not None:
-            x, y = sa[:-1], sa[1:]
-            enough = (left[x] >= length) & (left[y] >= length)
-            i = np.flatnonzero(enough)
-            x, y, eq = x[i], y[i], np.ones(len(i), dtype=bool)
-            step = 0
-            while step + top < length:
-                eq &= at[top][x + step] == at[top][y + step]
-                step += top
-            eq &= at[top][x + length - top] == at[top][y + length - top]
-            same[i + 1] = eq
+        x, y = sa[:-1], sa[1:]
+        i = np.flatnonzero((self.left[x] >= length) & (self.left[y] >= length))
+        same[i + 1] = self._alike(x[i], y[i])
         self.group = np.cumsum(~same) - 1  # class of each row
         first_rows = np.flatnonzero(~same)
         self.first = np.minimum.reduceat(sa, first_rows)  # of each class: its first place in the text
-        bwt = np.where(sa > 0, self.text[sa - 1], self.END)
+        bwt = text[sa - 1]  # row of place 0: the last end sign, as it should be
         self.starts = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
-        self.heads = bwt[self.starts].astype(np.int64)
+        heads = bwt[self.starts]
+        self.heads = heads.astype(np.int64)
         lengths = np.diff(self.starts, append=n)
         self.sample_first, self.sample_last = sa[self.starts], sa[self.starts + lengths - 1]
         counts = np.bincount(self.heads, weights=lengths, minlength=257).astype(np.int64)
         below = m + np.cumsum(counts[:256]) - counts[:256]  # end signs sort first
-        order = np.argsort(self.heads, kind="stable")
+        order = np.argsort(heads, kind="stable")
         before = np.zeros(len(lengths), dtype=np.int64)
         c = np.cumsum(lengths[order]) - lengths[order]
         head = self.heads[order]
         base = np.r_[0, np.cumsum(counts)][head]
         before[order] = c - base
         self.lf_base = np.where(self.heads < 256, below[np.minimum(self.heads, 255)] + before, -1)
-        self.by_head = self.heads * (len(self.starts) + 1) + np.arange(len(self.starts))  # sorted below, for jumps
-        self.by_head.sort()
+        self.by_head = head * (len(self.starts) + 1) + order  # sorted, for jumps
         self.lengths = lengths
+        self.run_of = np.repeat(np.arange(len(lengths)), lengths)
+
+    def _sort(self, text: np.ndarray, which: np.ndarray, m: int) -> np.ndarray:
+        """The suffix array by prefix doubling, of groups that are not single yet. Keeps ranks by 2, 4, 8, ... symbols up to ``length``."""
+        n = len(text)
+        used = np.unique(text)
+        code = np.zeros(257, dtype=np.int64)
+        code[used] = np.arange(1, len(used) + 1)
+        code[self.END] = 0  # hides what follows
+        key, h, bits = code[text], 1, int(len(used)).bit_length()
+        while 2 * h * bits <= 63 and 2 * h <= self.length:
+            follow = np.zeros(n, dtype=np.int64)
+            np.multiply(key[h:], self.left[: n - h] >= h, out=follow[: n - h])
+            key = key << (h * bits) | follow
+            h *= 2
+        sa = np.argsort(key)
+        new = np.r_[True, np.diff(key[sa]) != 0]
+        start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        rank = np.empty(n, dtype=np.int32)
+        rank[sa] = start
+        self.h, self.ranks = h, {h: rank.copy()}
+        self.key, self.bits = key, bits
+        open_ = np.flatnonzero(~(new & np.r_[new[1:], True]))  # rows of groups of several
+        wide = int(n + m).bit_length()
+        while len(open_):
+            at = sa[open_]
+            reach = np.minimum(at + h, n - 1)
+            beyond = np.where(self.left[at] >= h, rank[reach] + m, which[at]).astype(np.int64)
+            old = rank[at].astype(np.int64)
+            order = self._order(old << wide | beyond, 2 * wide)
+            at, old, beyond = at[order], old[order], beyond[order]
+            turn = np.r_[True, old[1:] != old[:-1]]
+            new = turn | np.r_[True, beyond[1:] != beyond[:-1]]
+            place = np.arange(len(at))
+            begin = np.maximum.accumulate(np.where(turn, place, 0))
+            start = np.maximum.accumulate(np.where(new, place, 0))
+            sa[open_] = at  # rows of a group lie side by side, in the order of groups
+            rank[at] = old + start - begin
+            open_ = open_[~(new & np.r_[new[1:], True])]
+            h *= 2
+            if h <= self.length:
+                self.ranks[h] = rank.copy()
+        return sa
 
     @staticmethod
-    def _ranks(key: np.ndarray) -> np.ndarray:
-        order = np.argsort(key, kind="stable") if len(key) < 64 else np.argsort(key)
-        new = np.r_[False, np.diff(key[order]) != 0]
-        rank = np.empty(len(key), dtype=np.int64)
-        rank[order] = np.cumsum(new)
-        return rank
+    def _order(key: np.ndarray, bits: int) -> np.ndarray:
+        """The order that sorts key, which has so many bits; with its place inside the number where both fit, which sorts faster."""
+        tail = max(1, len(key) - 1).bit_length()
+        if bits + tail > 63:
+            return np.argsort(key)
+        return np.sort(key << tail | np.arange(len(key))) & ((1 << tail) - 1)
+
+    def _alike(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the ``length`` symbols at x and y, all before an end sign, are equal."""
+        top = max(self.ranks)
+        rank, step = self.ranks[top], 0
+        eq = np.ones(len(x), dtype=bool)
+        while step + top < self.length:
+            eq &= rank[x + step] == rank[y + step]
+            step += top
+        return eq & (rank[x + self.length - top] == rank[y + self.length - top])
 
     def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Length of the common prefix of the texts at a and at b, at most so long."""
-        got, live = np.zeros(len(a), dtype=np.int64), np.arange(len(a))
-        while len(live):
-            x, y = self.text[np.minimum(a[live] + got[live], len(self.text) - 1)], self.text[np.minimum(b[live] + got[live], len(self.text) - 1)]
-            live = live[(x == y) & (x != self.END) & (got[live] < most[live])]
-            got[live] += 1
-        return got
+        last = len(self.left) - 1
+        most = np.minimum(most, np.minimum(self.left[a], self.left[b]))
+        got = np.zeros(len(a), dtype=np.int64)
+        for h in sorted(self.ranks, reverse=True):
+            rank = self.ranks[h]
+            while True:
+                more = (rank[np.minimum(a + got, last)] == rank[np.minimum(b + got, last)]) & (got < most)
+                if not more.any():
+                    break
+                got += h * more
+                if h < max(self.ranks):
+                    break
+        x, y = self.key[np.minimum(a + got, last)], self.key[np.minimum(b + got, last)]
+        for k in range(1, self.h):  # fewer symbols than the first ranks tell apart
+            got += (x >> (self.bits * (self.h - k)) == y >> (self.bits * (self.h - k))) & (got < most)
+        return np.minimum(got, most)
 
     def matching_statistics(self, patterns: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Right to left, one position of every pattern still open at a time: pattern, position, match length
@@ -200,14 +229,15 @@ class RunLengthIndex:
         sizes = np.array([len(p) for p in patterns])
         flat, first = np.frombuffer(b"".join(patterns), dtype=np.uint8), np.cumsum(sizes) - sizes
         order = np.argsort(-sizes, kind="stable")
+        falling = -sizes[order]
         row, place, long = np.zeros(len(patterns), dtype=np.int64), np.full(len(patterns), int(self.ends[0])), np.zeros(len(patterns), dtype=np.int64)
         runs = len(self.starts) + 1
         for t in range(int(sizes.max(initial=0))):
-            open_ = order[: int(np.searchsorted(-sizes[order], -t, side="left"))]
+            open_ = order[: int(np.searchsorted(falling, -t, side="left"))]
             position = sizes[open_] - 1 - t
             c = flat[first[open_] + position].astype(np.int64)
             j, p, ell = row[open_], place[open_], long[open_]
-            run = np.searchsorted(self.starts, j, side="right") - 1
+            run = self.run_of[j]
             off = np.flatnonzero(self.heads[run] != c)
             if len(off):
                 # runs of the wanted byte next above and below; their ends are sampled
@@ -250,12 +280,12 @@ def later_windows(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     return np.split(where[order], np.searchsorted(who[order], np.arange(1, len(texts))))
 
 
-# A fragment's place in its document is one number: 15 bits of the text's hash, 40 of the start, 8 of the windows after it.
+# A fragment's place in its document is one number: the start of its first window, then 8 bits of the windows after it.
 _SPAN = 8
 
 
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    column = batch.column(2)
+    column = batch.column(1)
     kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, dtype=kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
@@ -273,12 +303,12 @@ def _scan(length: int, emit: Callable, bits=None):
             if not batch.num_rows:
                 continue
             data, offsets = _columns(batch)
-            doc, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+            doc = batch.column(0).to_numpy()
             for d, a, z, place, h, f in fragments(data, offsets, length):
                 if bits is not None:
                     keep = _has(bits.value, h)
                     d, a, z, place, h, f = (x[keep] for x in (d, a, z, place, h, f))
-                yield emit(data, doc[d], (tag[d] << 48) | (a << _SPAN) | (z - a), z - a + length, place, h, f)
+                yield emit(data, doc[d], (a << _SPAN) | (z - a), z - a + length, place, h, f)
 
     return run
 
@@ -361,49 +391,51 @@ def _bit_set(hashes: DataFrame):
     return hashes.sparkSession.sparkContext.broadcast(bits)
 
 
-def _settle(df: DataFrame) -> DataFrame:
-    """Store df, and let go of the shuffle files of what led to it."""
-    out = materialize(df)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 def _not_first(rows: DataFrame) -> DataFrame:
     """rows: h, f, doc, val. Those that are not the first with their (h, f). The firsts are stored, so that the join has
     a shuffle of its own on both sides, whose large partitions Spark can split: one fragment may be a third of all rows."""
-    first = _settle(rows.groupBy("h", "f").agg(F.count("*").alias("n"), F.min(F.struct("doc", "val")).alias("first")).filter("n > 1").drop("n"))
+    first = materialize(rows.groupBy("h", "f").agg(F.count("*").alias("n"), F.min(F.struct("doc", "val")).alias("first")).filter("n > 1").drop("n"))
     return rows.join(first, ["h", "f"]).filter((F.col("doc") != F.col("first.doc")) | (F.col("val") != F.col("first.val"))).select("doc", "val")
 
 
 def later_ranges(keyed: DataFrame, length: int = LENGTH, split_at: int = SPLIT_AT) -> DataFrame:
-    """keyed: doc (long), tag (15 bits), content (binary). Rows (doc, val): ranges of windows that start earlier elsewhere."""
+    """keyed: doc (long, in order of precedence), content (binary). Rows (doc, val): ranges of windows that start earlier elsewhere."""
     counted = keyed.mapInArrow(_scan(length, _emit_hashes), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     again = _bit_set(counted.filter("n > 1").select("h"))
-    rows = _settle(keyed.mapInArrow(_scan(length, _emit_rows, again), "h long, f long, doc long, val long"))
-    copies = _settle(_not_first(rows))
-    several = _settle(rows.groupBy("h").agg(F.min("f").alias("f0"), F.max("f").alias("f1")).filter("f0 <> f1").select("h"))
+    rows = materialize(keyed.mapInArrow(_scan(length, _emit_rows, again), "h long, f long, doc long, val long"))
+    copies = materialize(_not_first(rows))
+    several = materialize(rows.groupBy("h").agg(F.min("f").alias("f0"), F.max("f").alias("f1")).filter("f0 <> f1").select("h"))
     bits = _bit_set(several)
     found = keyed.mapInArrow(_scan(length, _emit_contents, bits), "h long, f long, doc long, val long, content binary")
     first = found.groupBy("h", "f").agg(F.min(F.struct("doc", "val", "content")).alias("x")).select("h", "x.*")
-    first = _settle(first)
+    first = materialize(first)
     per_anchor = first.groupBy("h").count().filter("count > 1")
     small = first.join(per_anchor.filter(F.col("count") <= split_at).select("h"), "h")
     indexed = small.repartition("h").sortWithinPartitions("h").select("h", "doc", "val", "content").mapInArrow(_index_groups(length), RANGES)
     large = first.join(per_anchor.filter(F.col("count") > split_at).select("h"), "h").select("doc", "val", "content")
     single = _not_first(large.mapInArrow(_windows(length), "h long, f long, doc long, val long"))
-    return _settle(copies.unionByName(indexed).unionByName(single))
+    return materialize(copies.unionByName(indexed).unionByName(single))
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows id, doc, content. doc is a number in order of precedence that different texts never share: the id, unless ids
+    are null or stand for several texts; then the place among all pairs of id and MD5 digest."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("content"))
+    digest = F.md5("content").alias("digest")
+    clash = rows.select("id", digest).groupBy("id").agg(F.min("digest").alias("a"), F.max("digest").alias("z")).filter("id is null or a <> z")
+    if clash.isEmpty():
+        return rows.select("id", F.col("id").cast("long").alias("doc"), "content")
+    pairs = rows.select("id", digest).distinct().repartitionByRange("id", "digest").sortWithinPartitions("id", "digest")
+    numbers = materialize(pairs.select(F.col("id").alias("of"), F.col("digest").alias("said"), F.monotonically_increasing_id().alias("doc")))
+    joined = rows.withColumn("digest", digest).join(numbers, F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("said")))
+    return materialize(joined.select("id", "doc", "content"))
 
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, split_at: int = SPLIT_AT) -> DataFrame:
     """One row a document: doc_id, n_bytes, spans (array<struct<start, end>>, bytes, maximal), kept_sha256."""
-    content = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    keyed = docs.select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.pmod(F.xxhash64(content), F.lit(1 << 15)).alias("tag"), content.alias("content")
-    )
-    ranges = later_ranges(keyed.select("doc", "tag", "content"), length, split_at)
-    per_doc = ranges.groupBy("doc", F.shiftright("val", 48).alias("tag")).agg(F.collect_list("val").alias("vals"))
-    joined = keyed.join(per_doc, ["doc", "tag"], "left")
+    keyed = numbered(docs, id_col, text_col)
+    per_doc = later_ranges(keyed.select("doc", "content"), length, split_at).groupBy("doc").agg(F.collect_list("val").alias("vals"))
+    joined = keyed.join(per_doc, "doc", "left")
 
     @F.pandas_udf("n_bytes long, spans array<struct<start:long,end:long>>, kept_sha256 string")
     def cut(contents: pd.Series, vals: pd.Series) -> pd.DataFrame:
@@ -411,7 +443,7 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         for raw, found in zip(contents, vals):
             spans: list[tuple[int, int]] = []
             if found is not None and len(found):
-                v = np.sort(np.asarray(found, dtype=np.int64) & ((1 << 48) - 1))
+                v = np.sort(np.asarray(found, dtype=np.int64))
                 s = v >> _SPAN
                 e = np.maximum.accumulate(s + (v & 255) + length)
                 cuts = np.flatnonzero(s[1:] > e[:-1])

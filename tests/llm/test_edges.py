@@ -91,6 +91,44 @@ def test_suffix_dedup_edges(spark):
     assert suffix_dedup.annotate(empty(spark)).count() == 0
 
 
+def spans_by_hand(rows, length=100):
+    """rows in order of precedence, different documents each: what is removed of each, as spans."""
+    seen, out = set(), []
+    for raw in rows:
+        cover = np.zeros(len(raw) + 2, dtype=np.int8)
+        for s in range(len(raw) - length + 1):
+            if raw[s : s + length] in seen:
+                cover[s + 1 : s + 1 + length] = 1
+            seen.add(raw[s : s + length])
+        edge = np.flatnonzero(np.diff(cover))
+        out.append(list(zip(edge[::2].tolist(), edge[1::2].tolist())))
+    return out
+
+
+def test_suffix_dedup_with_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    passages = ["".join(rng.choices("abcdefgh", k=rng.randint(95, 260))) for _ in range(12)]
+    rows = []
+    for i in range(420):
+        text = "".join(rng.choices("abcdefgh", k=rng.randint(0, 150)))
+        rows.append((None if i < 300 else 7 if i < 360 else i, text + rng.choice(passages) + text[::-1] if rng.random() < 0.5 else text))
+    out = suffix_dedup.annotate(docs(spark, rows + [(None, None), (400, rows[400][1])])).collect()
+    order = sorted(set(rows) | {(None, "")}, key=lambda r: (r[0] is not None, r[0], hashlib.md5(r[1].encode()).hexdigest()))
+    expected = {}
+    for (i, text), spans in zip(order, spans_by_hand([t.encode() for _, t in order])):
+        expected[i, hashlib.sha256(suffix_dedup.removed_text(text.encode(), spans)).hexdigest(), tuple(spans)] = 1
+    assert {(r["doc_id"], r["kept_sha256"], tuple((s["start"], s["end"]) for s in r["spans"])) for r in out} == set(expected) and len(out) == 422
+
+
+def test_suffix_dedup_of_texts_longer_than_a_piece(spark):
+    rng = random.Random(3)
+    long = "".join(rng.choices("abcdefghijklmnop ", k=(1 << 21) + 5000))
+    cut = suffix_dedup.PIECE
+    rows = [(1, long), (2, "x" + long[cut - 150 : cut + 90]), (3, long[: cut + 7] + "é" + long[cut + 7 :])]
+    out = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in suffix_dedup.annotate(docs(spark, rows)).collect()}
+    assert out == dict(zip((1, 2, 3), spans_by_hand([t.encode() for _, t in rows])))
+
+
 @pytest.mark.parametrize("length", [1, 5, 12, 100])
 def test_run_length_index_against_brute_force(length):
     rng = random.Random(length)
@@ -262,7 +300,7 @@ def test_word_ids_are_the_tokenizers():
     rng = random.Random(5)
     ids_of = packing.word_ids(packing.default_tokenizer())
     signs = ["a", "B", "é", "İ", "ı", "ß", "Σ", "ς", "Ⅷ", "한", "ñ", "\u0301", "\u0307", "\u200d", "\u00a0", "\x1c", "\x85", ".", ",", ";", "!", "'s", "<|endoftext|>", "<|", "1", "²", "\u0958", "ﬁ", "ǅ", "\u2126", "\u212a", "👨‍👩", "</w>", "ŉ", "ẞ", "שׁ", "the", "Hello"]
-    word = lambda: "".join(rng.choices(signs, k=rng.randint(1, 5))) + rng.choice(["", "", ".", ",", "!?", "...", ":,"])
+    word = lambda: "".join(rng.choices(signs, k=rng.randint(1, 5))) + rng.choice(["", "", ".", ",", "!?", "...", ":,", "'", "$$$", "'s", "]'", "<|", "|>%"])
     texts = [rng.choice([" ", "  ", "\n", "\t "]).join(word() for _ in range(rng.randint(0, 6))) for _ in range(5000)] + ["ABİ, x", "İ.", "x" * 100 + "."]
     ids, at = ids_of.of(pa.array(texts))
     assert [ids[a:z].tolist() for a, z in zip(at, at[1:])] == [ids_of.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
