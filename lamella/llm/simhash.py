@@ -7,12 +7,14 @@ and cut into tiles; tile pairs whose counts differ by more than the radius are s
 are pairs that are one component already; the others are compared whole by exclusive or and bit counts. A bucket gives
 one edge for each value at most (to its local root), and star contraction joins the edges into components.
 
-``deduplicate`` links by the exact Jaccard similarity of the sets of distinct shingles (five words) instead. Candidates
-come from wide fingerprints of the same sets (``LANES`` x 64 bits), whose differing bits estimate the angle between them,
-``DEVIATIONS`` beyond what is expected of the least similar pair. Such radii leave no block to agree in, so all tile pairs
-are compared but those that set sizes rule out: chunks sorted by set size, a row for each pair of chunks, and in it
-tiles; a pair's first 64 bits are compared first. Components of candidates are then linked by their sets, each component in one task, or in one for each
-pair of its blocks of about ``BLOCK`` shingles, so that no row is made for a pair of texts.
+``deduplicate`` links by the exact Jaccard similarity of the sets of distinct shingles (five words) instead. Its
+fingerprints are wide (``LANES`` x 64 bits of the same sets), and at their radius (``DEVIATIONS`` beyond what is expected of
+the least similar pair) blocks of bits are too short to tell anything. Tiles are compared within buckets of the sets'
+minima instead: texts share a bucket where the least hashes under ``ROWS`` permutations agree, in one of ``BANDS`` ways;
+at a similarity of 0.8 a pair meets with a chance of 0.998, more above. A bucket of more than ``split_at`` texts is cut
+into blocks, and each pair of its blocks is compared in a task of its own. Components of candidates are then linked by
+their sets, each component in one task, or in one for each pair of its blocks of about ``BLOCK`` shingles, so that no row
+is made for a pair of texts.
 
 Defined results: null text is empty text; texts without words have fingerprint zero and link like any other; repeated
 rows share a fingerprint and a component; a null id never names a component that has another id; an empty table gives
@@ -29,12 +31,11 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lamella.llm.common import materialize, table
+from lamella.llm.common import give_back, materialize, table
 
 WORDS, RADIUS, SEED, TILE, SPLIT_AT = 4, 4, 42, 128, 20_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -115,10 +116,13 @@ def _root(parent: np.ndarray, i: int) -> int:
     return i
 
 
-def link_sorted(bucket: np.ndarray, fp: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> np.ndarray:
-    """fp (unsigned), sorted by bucket, then by population count. The place of each row's local root."""
+def link_sorted(bucket: np.ndarray, fp: np.ndarray, radius: int = RADIUS, tile: int = TILE, whole: int | None = None) -> np.ndarray:
+    """fp (unsigned; a word for each row, or several), sorted by bucket, then by population count of the first word. The
+    place of each row's local root. Rows link if their first words differ in ``radius`` bits or fewer, and all in ``whole``."""
     n = len(fp)
-    pops = np.bitwise_count(fp).astype(np.int64)
+    words = fp.reshape(n, -1)
+    lead = words[:, 0]
+    pops = np.bitwise_count(lead).astype(np.int64)
     parent = np.arange(n)
     for a in range(0, n, tile):
         a_end = min(a + tile, n)
@@ -130,35 +134,39 @@ def link_sorted(bucket: np.ndarray, fp: np.ndarray, radius: int = RADIUS, tile:
                 r = _root(parent, a)
                 if all(parent[i] == r or _root(parent, i) == r for x, y in ((a, a_end), (b, b_end)) for i in range(x, y)):
                     continue
-            near = (np.bitwise_count(fp[a:a_end, None] ^ fp[None, b:b_end]) <= radius) & (bucket[a:a_end, None] == bucket[None, b:b_end])
+            near = (np.bitwise_count(lead[a:a_end, None] ^ lead[None, b:b_end]) <= radius) & (bucket[a:a_end, None] == bucket[None, b:b_end])
             i, j = np.nonzero(near)
             keep = i + a < j + b
             i, j = i[keep] + a, j[keep] + b
-            if not len(i):
-                continue
-            _union(parent, i, j)
+            if whole is not None:
+                near = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64) <= whole
+                i, j = i[near], j[near]
+            if len(i):
+                _union(parent, i, j)
     while (parent[parent] != parent).any():
         parent = parent[parent]
     return parent
 
 
-def _link(radius: int, tile: int):
+def _link(radius: int, tile: int, whole: int | None = None):
+    """Rows of three columns that name a bucket, a node and its words, sorted by bucket. Edges a, b of nodes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def edges(rows: np.ndarray) -> pa.RecordBatch:
-            fp = rows[3].view(np.uint64)
             bucket = np.cumsum(np.any(np.diff(rows[:3], axis=1, prepend=rows[:3, :1]) != 0, axis=0))
-            order = np.lexsort((fp, np.bitwise_count(fp), bucket))
-            fp, bucket = fp[order], bucket[order]
-            root = link_sorted(bucket, fp, radius, tile)
-            own = root != np.arange(len(root))
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (fp[own], fp[root[own]])], names=["a", "b"])
+            lead = rows[4].view(np.uint64)
+            order = np.lexsort((rows[3], lead, np.bitwise_count(lead), bucket))
+            node, words, bucket = rows[3, order], np.ascontiguousarray(rows[4:, order].T).view(np.uint64), bucket[order]
+            root = link_sorted(bucket, words, radius, tile, whole)
+            own = node != node[root]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (node[own], node[root][own])], names=["a", "b"])
 
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]))
+            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
             size += batch.num_rows
             if size >= HELD:
                 rows = np.concatenate(held, axis=1)
@@ -170,11 +178,12 @@ def _link(radius: int, tile: int):
                 size = rows.shape[1] - cut
         if size:
             yield edges(np.concatenate(held, axis=1))
+        give_back()
 
     return run
 
 
-LANES, CHUNK, DEVIATIONS = 4, 8192, 4
+LANES, DEVIATIONS, BANDS, ROWS = 4, 4, 16, 5
 BLOCK = 1 << 20  # shingles of one candidate component that are held together, twice
 _ODD = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
@@ -234,86 +243,48 @@ def _union(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         np.minimum.at(parent, hi, lo)
 
 
-def link_chunks(a: np.ndarray, b: np.ndarray | None, first: int, whole: int, tile: int = TILE, sizes: list[np.ndarray] | None = None, similarity: float = 0.0) -> np.ndarray:
-    """a, b: rows of LANES unsigned words, sorted by population count of the first, or by the sizes of their sets where
-    these are given. b None: a with itself. The place of each row's root, rows of a before those of b."""
-    both = a if b is None else np.concatenate([a, b])
-    at = 0 if b is None else len(a)
-    y = a if b is None else b
-    keys, y_keys = (sizes[0], sizes[-1]) if sizes else (np.bitwise_count(x[:, 0]).astype(np.int64) for x in (a, y))
-    parent = np.arange(len(both))
-    for s in range(0, len(a), tile):
-        least, most = keys[s], keys[min(s + tile, len(a)) - 1]
-        reach = [np.ceil(similarity * least - 1e-9), np.floor(most / similarity + 1e-9) + 1] if sizes else [least - first, most + first + 1]
-        lo, hi = np.searchsorted(y_keys, reach)
-        lo = max(int(lo), s) if b is None else int(lo)
-        i, j = np.nonzero(np.bitwise_count(a[s : s + tile, :1] ^ y[None, lo:hi, 0]) <= first)
-        i, j = i + s, j + lo
-        near = np.bitwise_count(a[i] ^ y[j]).sum(axis=1, dtype=np.int64) <= whole
-        _union(parent, i[near], j[near] + at)
-    while (parent[parent] != parent).any():
-        parent = parent[parent]
-    return parent
-
-
-def _pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows node, n, wide, sorted by n; a row for each CHUNK of them."""
-    number = TaskContext.get().partitionId() << 32
-    held = np.zeros((2, 0), dtype="<i8")
-    wides: list[bytes] = []
-
-    def out(k: int) -> pa.RecordBatch:
-        nonlocal number, held, wides
-        nodes, sizes = held[:, :k]
-        row = pa.RecordBatch.from_arrays(
-            [pa.array([x]) for x in (number, int(sizes[0]), int(sizes[-1]), nodes.tobytes(), sizes.tobytes(), b"".join(wides[:k]))], names=["chunk", "least", "most", "nodes", "sizes", "wides"]
-        )
-        number, held, wides = number + 1, held[:, k:], wides[k:]
-        return row
-
-    for batch in batches:
-        held = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in range(2)])], axis=1)
-        wides.extend(batch.column(2).to_pylist())
-        while len(wides) >= CHUNK:
-            yield out(CHUNK)
-    if wides:
-        yield out(len(wides))
-
-
-def _link_chunks(first: int, whole: int, similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                na, sa, wa, nb, sb, wb = (batch.column(c)[r].as_py() for c in range(6))
-                nodes, sizes = ([np.frombuffer(x, dtype="<i8") for x in pair if x is not None] for pair in ((na, nb), (sa, sb)))
-                wide = [np.frombuffer(x, dtype="<u8").reshape(-1, LANES) for x in (wa, wb) if x is not None]
-                root = link_chunks(wide[0], wide[1] if len(wide) > 1 else None, first, whole, sizes=sizes, similarity=similarity)
-                node = np.concatenate(nodes)
-                own = root != np.arange(len(root))
-                yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[root[own]])], names=["a", "b"])
-
-    return run
+def minima(sets: list[np.ndarray]) -> np.ndarray:
+    """sets: hashes, none empty. Of each, the BANDS numbers that name its buckets: of ROWS least hashes each."""
+    rng = np.random.default_rng(SEED)
+    turn, odd = (rng.integers(0, 1 << 64, size=BANDS * ROWS, dtype=np.uint64) for _ in range(2))
+    odd |= np.uint64(1)
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+    least = np.full((BANDS * ROWS, len(sets)), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(flat), HELD):
+        h = flat[at : at + HELD]
+        lo, hi = np.searchsorted(ends, [at, at + len(h) - 1], side="right")
+        begins = np.maximum(ends[lo : hi + 1] - sizes[lo : hi + 1] - at, 0)
+        for k in range(BANDS * ROWS):
+            np.minimum(least[k, lo : hi + 1], np.minimum.reduceat((h ^ turn[k]) * odd[k], begins), out=least[k, lo : hi + 1])
+    names = np.empty((len(sets), BANDS), dtype=np.uint64)
+    for band in range(BANDS):
+        x = np.full(len(sets), band + 1, dtype=np.uint64)
+        for k in range(band * ROWS, (band + 1) * ROWS):
+            x = (x ^ least[k]) * np.uint64(_ODD[0])
+            x ^= x >> np.uint64(29)
+        names[:, band] = x
+    return names.view(np.int64)
+
+
+def similar_links(values: DataFrame, similarity: float, split_at: int = SPLIT_AT) -> DataFrame:
+    """values: node (long), w0 to w3 (long), bands (array<long>), distinct. Edges a, b whose contraction has the components
+    of all candidate pairs: those that share a bucket and whose fingerprints are near."""
+    first, whole = radii(similarity)
+    spread = values.select("node", *(f"w{i}" for i in range(LANES)), F.explode("bands").alias("key"))
+    several = spread.groupBy("key").count().filter("count > 1")
+    blocks = F.when(F.col("count") > split_at, F.ceil(2 * F.col("count") / split_at)).otherwise(1).cast("int")
+    placed = spread.join(several, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    return _block_pairs(placed, "key", ["node", *(f"w{i}" for i in range(LANES))]).mapInArrow(_link(first, TILE, whole), "a long, b long")
 
 
-def similar_links(values: DataFrame, similarity: float) -> DataFrame:
-    """values: node (long), n (size of its set), wide (binary), distinct. Edges a, b whose contraction has the components of all candidate pairs."""
-    first, whole = radii(similarity)
-    parts = max(1, values.count() // CHUNK)
-    dealt = values.repartitionByRange(parts, "n", "node").sortWithinPartitions("n", "node")
-    chunks = materialize(dealt.select("node", "n", "wide").mapInArrow(_pack_chunks, "chunk long, least long, most long, nodes binary, sizes binary, wides binary"))
-    # which chunks meet: similar sets' sizes are one step of this scale apart at most (two with rounding), so that this stays an equi-join on small rows
-    step = lambda n: F.floor(F.log(n) / F.lit(-float(np.log(similarity)))).cast("int")
-    span = chunks.select("chunk", "least", "most")
-    reach = span.select(F.col("chunk").alias("c1"), F.col("least").alias("least1"), F.col("most").alias("most1"), F.explode(F.sequence(step(F.col("least")) - 2, step(F.col("most")) + 2)).alias("step"))
-    holds = span.select(F.col("chunk").alias("c2"), F.col("least").alias("least2"), F.col("most").alias("most2"), F.explode(F.sequence(step(F.col("least")), step(F.col("most")))).alias("step"))
-    fit = (F.col("most2") >= F.col("least1") * similarity - 1e-9) & (F.col("most1") >= F.col("least2") * similarity - 1e-9)
-    pairs = reach.join(holds, "step").filter("c1 <= c2").filter(fit).select("c1", "c2").distinct()
-    left = chunks.select(F.col("chunk").alias("c1"), F.col("nodes").alias("na"), F.col("sizes").alias("sa"), F.col("wides").alias("wa"))
-    right = chunks.select(F.col("chunk").alias("c2"), F.col("nodes").alias("nb"), F.col("sizes").alias("sb"), F.col("wides").alias("wb"))
-    met = pairs.join(left, "c1").join(right, "c2")
-    other = lambda c: F.when(F.col("c1") != F.col("c2"), F.col(c)).alias(c)
-    spread = met.repartition(F.xxhash64("c1", "c2"))
-    return spread.select("na", "sa", "wa", other("nb"), other("sb"), other("wb")).mapInArrow(_link_chunks(first, whole, similarity), "a long, b long")
+def _block_pairs(placed: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """placed: group, blocks (how many the group has), block, columns. Every row once for each pair of blocks that holds its own, sorted by pair."""
+    other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: (F.col("blocks") == 1) | (k != F.col("block")))
+    units = placed.select(group, "block", *columns, F.explode(other).alias("other"))
+    units = units.select(group, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), *columns)
+    return units.repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi")
 
 
 def link_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -381,28 +352,33 @@ def verified_links(texts: DataFrame, candidates: DataFrame, values: DataFrame, w
     blocks = members.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"))
     placed = materialize(members.join(blocks, "root").select("node", "root", "first.id", "first.th", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")))
     held = texts.join(placed, ["id", "th"]).dropDuplicates(["id", "th"]).select("root", "node", "blocks", "block", distinct("t").alias("set"))
-    other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: (F.col("blocks") == 1) | (k != F.col("block")))
-    units = held.select("root", "node", "block", "set", F.explode(other).alias("other"))
-    units = units.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "set")
-    return units.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(_link_sets(similarity), "a long, b long")
+    return _block_pairs(held, "root", ["node", "set"]).mapInArrow(_link_sets(similarity), "a long, b long")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each component of similar texts, that of the smallest id (then of the least hash of the text), with
     the columns of docs; of rows equal in id and text, one."""
 
-    @F.pandas_udf("wide binary, node long, n long")
-    def wide(texts: pd.Series) -> pd.DataFrame:
+    lanes = [f"w{i}" for i in range(LANES)]
+
+    @F.pandas_udf(f"node long, n long, {', '.join(f'{w} long' for w in lanes)}, bands array<long>")
+    def described(texts: pd.Series) -> pd.DataFrame:
         sets = [distinct_shingles(x, words) for x in texts]
+        able = [x for x in sets if len(x)]
+        names = iter(minima(able).tolist())
+        wide = np.array([np.frombuffer(wide_of(x), dtype="<i8") for x in sets], dtype=np.int64).reshape(-1, LANES)
         nodes = [int.from_bytes(blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) for x in sets]
-        return pd.DataFrame({"wide": [wide_of(x) for x in sets], "node": pd.Series(nodes, dtype="int64"), "n": pd.Series(map(len, sets), dtype="int64")})
+        out = {"node": np.array(nodes, dtype=np.int64), "n": np.array([len(x) for x in sets], dtype=np.int64)} | {w: wide[:, i] for i, w in enumerate(lanes)}
+        out = pd.DataFrame(out | {"bands": [next(names) if len(x) else [] for x in sets]})
+        give_back()
+        return out
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = lambda df: df.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("th"), F.col(text_col).alias("t"))
-    rows = materialize(key(docs).select("id", "th", wide("t").alias("x")).select("id", "th", "x.*"))
-    values = materialize(rows.groupBy("node", "n").agg(F.min(F.struct("id", "th", "wide")).alias("x")).select("node", "n", F.struct("x.id", "x.th").alias("first"), "x.wide"))
+    rows = materialize(key(docs).select("id", "th", described("t").alias("x")).select("id", "th", "x.*"))
+    values = materialize(rows.groupBy("node", "n").agg(F.min(F.struct("id", "th", *lanes, "bands")).alias("x")).select("node", "n", F.struct("x.id", "x.th").alias("first"), *(f"x.{w}" for w in lanes), "x.bands"))
     able = values.filter(F.col("n") / (F.col("n") + 1) >= similarity)  # fewer shingles: similar to equal sets only, which are one node
-    near = components(similar_links(able.select("node", "n", "wide"), similarity)).filter("node <> root")
+    near = components(similar_links(able, similarity)).filter("node <> root")
     of = components(verified_links(key(docs).select("id", "th", "t"), near, values, words, similarity)).filter("node <> root")
     roots = values.join(of, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("keep"))
     keep = materialize(roots.select("keep.id", "keep.th"))
@@ -441,7 +417,7 @@ def classes(rows: DataFrame, radius: int = RADIUS, split_at: int = SPLIT_AT, til
     values = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")))
     entries = buckets(values.select("fp"), radius, split_at)
     dealt = entries.repartition("band", "key", "sub").sortWithinPartitions("band", "key", "sub")
-    links = dealt.select("band", "key", "sub", "fp").mapInArrow(_link(radius, tile), "a long, b long")
+    links = dealt.select("band", "key", "sub", "fp", F.col("fp").alias("word")).mapInArrow(_link(radius, tile), "a long, b long")
     of = components(links).withColumnRenamed("node", "fp")
     rooted = values.join(of, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -101,6 +101,40 @@ def test_no_similar_pair_is_missed(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == expected
 
 
+def test_recall_at_the_threshold():
+    """Of pairs at 0.80 to 0.83, the share that meets in some bucket with near fingerprints: at least 0.99."""
+    rng = random.Random(12)
+    first, whole = simhash.radii(0.8)
+    met = pairs = 0
+    while pairs < 600:
+        n = rng.choice((60, 150, 300, 800))
+        base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        a, b = (simhash.distinct_shingles(" ".join(x), 5) for x in (base, changed(rng, base, max(1, round(n * 0.02)))))
+        both = len(np.intersect1d(a, b))
+        if not 0.8 <= both / (len(a) + len(b) - both) < 0.83:
+            continue
+        pairs += 1
+        keys = simhash.minima([a, b])
+        x, y = (np.frombuffer(simhash.wide_of(s), dtype="<u8") for s in (a, b))
+        d = np.bitwise_count(x ^ y)
+        met += (keys[0] == keys[1]).any() and d[0] <= first and d.sum() <= whole
+    assert met / pairs >= 0.99
+
+
+def test_split_buckets_lose_no_pair(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(4):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        rows += [(100 * i + k, " ".join(changed(rng, base, 1)), "s") for k in range(12)]
+    sets = [simhash.distinct_shingles(t, 5) for _, t, _ in rows]
+    wide = [np.frombuffer(simhash.wide_of(s), dtype="<i8").tolist() for s in sets]
+    values = spark.createDataFrame([(i, *w, b) for (i, _, _), w, b in zip(rows, wide, simhash.minima(sets).tolist())], "node long, w0 long, w1 long, w2 long, w3 long, bands array<long>")
+    for split_at in (20_000, 5):
+        of = {r["node"]: r["root"] for r in simhash.components(simhash.similar_links(values, 0.8, split_at)).collect()}
+        assert all(of.get(i, i) == i // 100 * 100 for i, _, _ in rows)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
 def test_stage_against_brute_force(spark):
     docs = corpus_pipeline.exact_dedup_stage(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "").localCheckpoint()
