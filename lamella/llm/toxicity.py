@@ -1,15 +1,18 @@
 """Toxicity by a linear-chain conditional random field over tokens.
 
-Tokens are runs of letters (ASCII letters in lower case, and any byte above 127); a chain is a sentence, cut after each
-``MAX_CHAIN`` tokens. Token labels come from document labels: in a toxic document the witnesses are the tokens whose
-best feature (the word, or its first 3, 4 or 5 bytes), found in at least ``LEAST_SHARE`` of the toxic documents, tells
-toxic from clean documents about as well as the document's best one does. The field has two states with emissions from the same hashed features and a full transition matrix, and
-is trained by maximum likelihood. Forward-backward marginals then give each token's chance of being toxic; spans are
+Tokens are runs of letters (ASCII letters in lower case, and any byte above 127); a chain is a sentence, of any length.
+Token labels come from document labels: in a toxic document the witnesses are the tokens whose best feature (the word, or
+its first 3, 4 or 5 bytes), found in at least ``LEAST_SHARE`` of the toxic documents, tells toxic from clean documents
+about as well as the document's best one does. The field has two states with emissions from the same hashed features and
+a full transition matrix, and is trained by maximum likelihood. Forward-backward marginals then give each token's chance
+of being toxic; chains are worked off in segments of ``SEGMENT`` tokens side by side, and what a segment does to the odds
+that come into it is a fraction of two linear forms, so that the segments of a long chain are joined exactly. Spans are
 runs of tokens at or above ``SPAN``, in characters of the original text; the document score is a logistic function of
 the two largest marginals and the expected number of toxic tokens, both over marginals above ``NOTICED``.
 
-Only training is bounded: at most ``max_toxic`` and ``max_clean`` labelled rows, chosen by a hash of the id, of which at
-most ``MAX_TRAIN_TOKENS`` tokens each are used; this bounds what reaches the driver. Scoring reads every whole text.
+Only training is bounded, by what reaches the driver: at most ``max_toxic`` and ``max_clean`` labelled rows, in the order
+of a hash of the id, while their whole texts have at most ``max_tokens`` tokens in each class; texts above ``MAX_BYTES``
+are not learned from. No text is used in part. Scoring reads every whole text, in pieces that end with a sentence.
 
 Defined results: null and empty texts, and texts without letters, have no tokens and get the score of no evidence; rows
 with equal text get equal scores; label rows with a null id or label are left out, and of repeated label rows the
@@ -26,22 +29,23 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import table
+from lamella.llm.common import give_back, table
 
 SLOT_BITS = 22
 SLOTS = 1 << SLOT_BITS
 PREFIXES = (3, 4, 5)
-MAX_CHAIN, MAX_TRAIN_TOKENS, MAX_TOXIC, MAX_CLEAN = 64, 1024, 1000, 1500
-PIECE = 1 << 21  # bytes looked at together
+SEGMENT, MAX_TOKENS, MAX_BYTES, MAX_TOXIC, MAX_CLEAN = 64, 500_000, 1 << 20, 1000, 1500
+PIECE = 1 << 19  # bytes looked at together
 SPAN, NOTICED, MARGIN, LEAST_ODDS, LEAST_DOCS, LEAST_SHARE = 0.5, 0.3, 1.0, 2.0, 3, 0.02
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(97, 123), *range(128, 256)]] = True
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+STOPS = (b".", b"!", b"?", b"\n")
 _STOP = np.zeros(256, dtype=bool)
-_STOP[[ord(c) for c in ".!?\n"]] = True
+_STOP[[ord(c) for c in STOPS]] = True
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -82,10 +86,7 @@ def tokenize(raw: bytes) -> Tokens:
         features[k] = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
     stops = np.zeros(len(b) + 1, dtype=np.int32)
     np.cumsum(_STOP[b], out=stops[1:])
-    sentence = stops[start]
-    begins = np.flatnonzero(np.diff(sentence, prepend=-1))
-    place = np.arange(len(start)) - np.repeat(begins, np.diff(begins, append=len(start)))
-    chain = np.cumsum(place % MAX_CHAIN == 0) - 1
+    chain = np.cumsum(np.diff(stops[start], prepend=-1) != 0) - 1
     return Tokens(start, end, features, chain)
 
 
@@ -105,25 +106,83 @@ class Crf:
     def ratios(self, features: np.ndarray, chain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Odds of the toxic state at each token: forward, backward, and the emission's own."""
         psi = np.exp(self.emissions(features))
-        begins = np.flatnonzero(np.diff(chain, prepend=-1))
-        lengths = np.diff(begins, append=len(chain))
-        order = np.argsort(-lengths, kind="stable")
-        begins, lengths = begins[order], lengths[order]
+        n = len(chain)
         (oo, ot), (to, tt) = np.exp(np.clip(self.trans, -20, 20))
-        fwd, bwd = np.empty(len(chain)), np.ones(len(chain))
-        longest = int(lengths[0]) if len(lengths) else 0
-        alive = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(longest + 1)]  # chains longer than t
-        for t in range(longest):
-            i = begins[: alive[t]] + t
-            if t == 0:
-                fwd[i] = psi[i] * np.exp(np.clip(self.begin, -20, 20))
-            else:
-                r = np.minimum(fwd[i - 1], 1e30)
-                fwd[i] = psi[i] * (ot + r * tt) / (oo + r * to)
-        for t in range(longest - 2, -1, -1):
-            i = begins[: alive[t + 1]] + t
-            x = np.minimum(psi[i + 1] * bwd[i + 1], 1e30)
-            bwd[i] = (to + tt * x) / (oo + ot * x)
+        fwd, bwd = np.empty(n), np.ones(n)
+        if not n:
+            return fwd, bwd, psi
+        begins = np.flatnonzero(np.diff(chain, prepend=-1))
+        place = np.arange(n) - np.repeat(begins, np.diff(begins, append=n))
+        start = np.flatnonzero(place % SEGMENT == 0)
+        size = np.diff(start, append=n)
+        turn = place[start] // SEGMENT  # of the segments of a chain, from 0
+        last = np.r_[turn[1:] == 0, True]
+
+        def sweep(some: np.ndarray, into: np.ndarray, forward: bool) -> None:
+            """Fill fwd, or bwd, of these segments. into: the value at the first token, or at the last."""
+            order = np.argsort(-size[some], kind="stable")
+            some, into = some[order], into[order]
+            alive = np.searchsorted(-size[some], -np.arange(SEGMENT), side="left")  # segments longer than t
+            r = into
+            for t in range(int(size[some[0]]) if len(some) else 0):
+                own = some[: alive[t]]
+                if forward:
+                    i = start[own] + t
+                    r = into if t == 0 else psi[i] * (ot + r[: len(own)] * tt) / (oo + r[: len(own)] * to)
+                    fwd[i] = r = np.minimum(r, 1e30)
+                else:
+                    i = start[own] + size[own] - 1 - t
+                    x = psi[np.minimum(i + 1, n - 1)] * r[: len(own)]
+                    r = into if t == 0 else (to + tt * x) / (oo + ot * x)
+                    bwd[i] = r = np.minimum(r, 1e30)
+
+        def effect(some: np.ndarray, forward: bool) -> np.ndarray:
+            """Of whole segments, all SEGMENT long: the matrix (a, b, c, d) that takes odds x to (c + d x) / (a + b x). Forward: from
+            the token before to the last; backward: from the first token after to the first."""
+            a, b, c, d = np.ones(len(some)), np.zeros(len(some)), np.zeros(len(some)), np.ones(len(some))
+            for t in range(SEGMENT):
+                i = start[some] + t if forward else start[some] + SEGMENT - t
+                e = psi[i]
+                if forward:
+                    a, b, c, d = oo * a + to * c, oo * b + to * d, e * (ot * a + tt * c), e * (ot * b + tt * d)
+                else:
+                    a, b, c, d = oo * a + ot * e * c, oo * b + ot * e * d, to * a + tt * e * c, to * b + tt * e * d
+                most = np.maximum(np.maximum(a, b), np.maximum(c, d))
+                a, b, c, d = a / most, b / most, c / most, d / most
+            return np.stack([a, b, c, d])
+
+        first = np.flatnonzero(turn == 0)
+        sweep(first, psi[start[first]] * np.exp(np.clip(self.begin, -20, 20)), True)
+        sweep(np.flatnonzero(last), np.ones(int(last.sum())), False)
+        if len(first) == len(start):
+            return fwd, bwd, psi
+        # chains of several segments: what comes into each, one segment of all chains at a time
+        middle = np.flatnonzero((turn > 0) & ~last)
+        after = np.zeros((4, len(start)))
+        after[:, middle] = effect(middle, True)
+        before = np.zeros((4, len(start)))
+        before[:, ~last] = effect(np.flatnonzero(~last), False)
+        by_turn = np.argsort(turn, kind="stable")
+        groups = np.split(by_turn, np.flatnonzero(np.diff(turn[by_turn])) + 1)
+        out = np.zeros(len(start))  # forward odds at the last token
+        out[first] = fwd[start[first] + size[first] - 1]
+        came = np.zeros(len(start))
+        for some in groups[1:]:
+            came[some] = out[some - 1]
+            a, b, c, d = after[:, some]
+            out[some] = np.minimum((c + d * came[some]) / np.maximum(a + b * came[some], 1e-300), 1e30)
+        rest = np.flatnonzero(turn > 0)
+        i = start[rest]
+        sweep(rest, psi[i] * (ot + came[rest] * tt) / (oo + came[rest] * to), True)
+        back = np.zeros(len(start))  # backward odds at the first token
+        back[last] = bwd[start[last]]
+        for some in reversed(groups[:-1]):
+            some = some[~last[some]]
+            a, b, c, d = before[:, some]
+            back[some] = np.minimum((c + d * back[some + 1]) / np.maximum(a + b * back[some + 1], 1e-300), 1e30)
+        rest = np.flatnonzero(~last)
+        x = psi[start[rest + 1]] * back[rest + 1]
+        sweep(rest, (to + tt * x) / (oo + ot * x), False)
         return fwd, bwd, psi
 
     def marginals(self, features: np.ndarray, chain: np.ndarray) -> np.ndarray:
@@ -244,21 +303,23 @@ def fit(features: list[np.ndarray], chains: list[np.ndarray], toxic: np.ndarray)
 
 
 def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Texts in UTF-8 in groups of about PIECE bytes; longer ones cut at a line end, else at a space, else at PIECE."""
+    """Texts in UTF-8 in groups of about PIECE bytes; longer ones cut after the last sentence that fits, or the first that ends."""
     who, held, size = [], [], 0
     for i, text in enumerate(texts):
         raw = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
-        while raw:
-            cut = len(raw)
-            if cut > PIECE:
-                cut = max(raw.rfind(b"\n", 0, PIECE), raw.rfind(b" ", PIECE // 2, PIECE)) + 1 or PIECE
-            if size + cut > PIECE and held:
+        at = 0
+        while at < len(raw):
+            end = len(raw)
+            if end - at > PIECE:
+                end = max(raw.rfind(c, at, at + PIECE) for c in STOPS) + 1
+                end = end or min(x for c in STOPS if (x := raw.find(c, at + PIECE) + 1 or len(raw)))
+            if size + end - at > PIECE and held:
                 yield who, held
                 who, held, size = [], [], 0
             who.append(i)
-            held.append(raw[:cut])
-            size += cut
-            raw = raw[cut:]
+            held.append(raw[at:end])
+            size += end - at
+            at = end
     if held:
         yield who, held
 
@@ -298,7 +359,7 @@ def held_out(id_col: str):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_tokens: int = MAX_TOKENS) -> Model:
     """labels: the rows to learn from."""
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
@@ -309,13 +370,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             out = []
             for text in batch.column(2).to_pylist():
-                t = tokenize((text or "").encode("utf-8", "surrogatepass")[: 16 * MAX_TRAIN_TOKENS].translate(_LOWER))
-                out.append((t.features[:, :MAX_TRAIN_TOKENS].astype("<i4").tobytes(), t.chain[:MAX_TRAIN_TOKENS].astype("<i4").tobytes()))
-            f, c = zip(*out) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(f, pa.binary()), pa.array(c, pa.binary())], names=["id", "y", "f", "c"])
+                t = tokenize((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
+                out.append((len(t.chain), t.features.astype("<i4").tobytes(), t.chain.astype("<i4").tobytes()))
+            n, f, c = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(f, pa.binary()), pa.array(c, pa.binary())], names=["id", "y", "n", "f", "c"])
 
     found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(F.broadcast(ids), "id").select("id", "y", "t")
-    rows = found.mapInArrow(featurize, "id long, y int, f binary, c binary").groupBy("id").agg(F.min(F.struct("y", "f", "c")).alias("x")).select("id", "x.*").toPandas().sort_values("id")
+    found = found.filter(F.octet_length(F.coalesce("t", F.lit(""))) <= MAX_BYTES)
+    rows = found.mapInArrow(featurize, "id long, y int, n long, f binary, c binary").groupBy("id").agg(F.min(F.struct("y", "n", "f", "c")).alias("x")).select("id", "x.*")
+    so_far = F.sum("n").over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))  # over the chosen rows, at most max_toxic or max_clean
+    rows = rows.withColumn("so_far", so_far).filter(F.col("so_far") <= max_tokens).toPandas().sort_values("id")
     features = [np.frombuffer(x, dtype="<i4").reshape(1 + len(PREFIXES), -1) for x in rows["f"]]
     return fit(features, [np.frombuffer(x, dtype="<i4").astype(np.int64) for x in rows["c"]], rows["y"].to_numpy(dtype=np.int64))
 
@@ -327,6 +391,7 @@ def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     @F.pandas_udf("score double, spans array<struct<start:long,end:long,score:double>>")
     def score(texts: pd.Series) -> pd.DataFrame:
         s, spans = score_texts(texts.tolist(), held.value)
+        give_back()
         return pd.DataFrame({"score": s, "spans": [[{"start": a, "end": b, "score": p} for a, b, p in x] for x in spans]})
 
     return docs.select(F.struct("*").alias("row"), score(F.col(text_col)).alias("scored")).select("row", "scored.score", "scored.spans")

@@ -210,20 +210,32 @@ def test_similar_texts_keep_one(spark):
     assert simhash.deduplicate(docs(spark, [(1, "a"), (1, "a")])).count() == 1
 
 
-def test_link_chunks_against_brute_force():
+def test_link_sorted_of_wide_fingerprints_against_brute_force():
     rng = np.random.default_rng(3)
     wide = rng.integers(0, 1 << 63, size=(300, simhash.LANES), dtype=np.uint64)
     wide[150:] = wide[:150] ^ (np.uint64(1) << rng.integers(0, 60, size=(150, simhash.LANES), dtype=np.uint64))
-    wide = wide[np.argsort(np.bitwise_count(wide[:, 0]), kind="stable")]
+    bucket = np.repeat([0, 1], 150)[rng.permutation(300)]
+    order = np.lexsort((np.bitwise_count(wide[:, 0]), bucket))
+    wide, bucket = wide[order], bucket[order]
     first, whole = simhash.radii(0.8)
-    near = (np.bitwise_count(wide[:, None, 0] ^ wide[None, :, 0]) <= first) & (np.bitwise_count(wide[:, None] ^ wide[None]).sum(axis=2) <= whole)
+    near = (np.bitwise_count(wide[:, None, 0] ^ wide[None, :, 0]) <= first) & (np.bitwise_count(wide[:, None] ^ wide[None]).sum(axis=2) <= whole) & (bucket[:, None] == bucket)
     label = np.arange(300)
     while True:
         new = np.where(near, label[None, :], 300).min(axis=1)
         if (new == label).all():
             break
         label = new
-    assert simhash.link_chunks(wide, None, first, whole, tile=16).tolist() == label.tolist()
+    assert simhash.link_sorted(bucket, wide, first, 16, whole).tolist() == label.tolist()
+
+
+def test_minima_do_not_depend_on_the_grouping(monkeypatch):
+    rng = np.random.default_rng(4)
+    sets = [rng.integers(0, 1 << 64, size=n, dtype=np.uint64) for n in (1, 7, 300, 2, 65, 64, 1000)]
+    whole = simhash.minima(sets)
+    assert len(np.unique(whole)) == whole.size
+    monkeypatch.setattr(simhash, "HELD", 64)
+    assert (simhash.minima(sets) == whole).all() and (np.concatenate([simhash.minima([x]) for x in sets]) == whole).all()
+    assert simhash.minima([]).shape == (0, simhash.BANDS)
 
 
 def test_mixing(spark):
@@ -372,6 +384,36 @@ def test_marginals_against_enumeration():
         assert np.allclose(crf.marginals(features, chain)[at], on / total)
 
 
+def test_marginals_of_long_chains_and_pieces(monkeypatch):
+    rng = np.random.default_rng(2)
+    weights = rng.normal(size=toxicity.SLOTS).astype(np.float32) * 2
+    crf = toxicity.Crf(weights, -0.3, 0.4, rng.normal(size=(2, 2)))
+    sizes = [1, 64, 65, 128, 129, 500, 3, 63, 192, 1000]
+    chain = np.repeat(np.arange(len(sizes)), sizes)
+    features = rng.integers(0, toxicity.SLOTS, size=(4, len(chain)))
+    e = crf.emissions(features)
+    expected = []
+    for c in range(len(sizes)):  # in logs, a token at a time
+        at = np.flatnonzero(chain == c)
+        f = [np.array([0.0, crf.begin + e[at[0]]])]
+        for i in at[1:]:
+            f.append(np.logaddexp.reduce(f[-1][:, None] + crf.trans, axis=0) + [0, e[i]])
+        b = [np.zeros(2)]
+        for i in at[:0:-1]:
+            b.append(np.logaddexp.reduce(crf.trans + ([0, e[i]] + b[-1])[None, :], axis=1))
+        x = np.array(f) + np.array(b[::-1])
+        expected.extend(1 / (1 + np.exp(x[:, 0] - x[:, 1])))
+    assert np.allclose(crf.marginals(features, chain), expected)
+    model = toxicity.Model(crf, np.array([-1.0, 1.0, 1.0, 0.1]))
+    words = ["".join(rng.choice(list("abcdé"), size=4)) for _ in range(50)]
+    long = " ".join(w + ("." if rng.random() < 0.01 else "") for w in rng.choice(words, size=4000))
+    texts = ["x. y", long, None, "", long[::-1], "a" * 3000 + " b"]
+    whole = toxicity.score_texts(texts, model)
+    monkeypatch.setattr(toxicity, "PIECE", 500)
+    cut = toxicity.score_texts(texts, model)
+    assert np.allclose(whole[0], cut[0]) and [[s[:2] for s in x] for x in whole[1]] == [[s[:2] for s in x] for x in cut[1]]
+
+
 def test_ann(spark):
     rng = np.random.default_rng(5)
     centre = rng.normal(size=(30, 16))

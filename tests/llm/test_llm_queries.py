@@ -176,17 +176,14 @@ def test_pipeline_against_brute_force(spark, docs):
     plain = frames[1].assign(norm=[re.sub(r"[\x20\x09-\x0D]", "", t) for t in frames[1].text], n=frames[1].text.str.len())
     best = plain.sort_values(["n", "doc_id"], ascending=[False, True]).groupby("norm").doc_id.first()
     assert sorted(frames[2].doc_id) == sorted(best)
-    wide = np.array([np.frombuffer(simhash.wide_fingerprint(t, 5), dtype="<u8") for t in frames[2].text])
-    first, whole = simhash.radii(0.8)
-    near = (np.bitwise_count(wide[:, None, 0] ^ wide[None, :, 0]) <= first) & (np.bitwise_count(wide[:, None] ^ wide[None]).sum(axis=2) <= whole)
-    ids = frames[2].doc_id.to_numpy()
-    label = ids.copy()
-    while True:
-        new = np.where(near, label[None, :], 1 << 60).min(axis=1)
-        if (new == label).all():
-            break
-        label = new
-    assert sorted(frames[3].doc_id) == sorted(set(label))
+    sets = {r.doc_id: set(simhash.distinct_shingles(r.text, 5).tolist()) for r in frames[2].itertuples()}
+    label = {i: i for i in sorted(sets)}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if j < i and label[i] != label[j] and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                lo, hi = sorted((label[i], label[j]))
+                label = {k: lo if x == hi else x for k, x in label.items()}
+    assert sorted(frames[3].doc_id) == sorted(set(label.values()))
     times = frames[4].groupby("doc_id").size()
     sizes = frames[3].set_index("doc_id").text.map(lambda t: len(WORDS.findall(t)))
     assert set(times.index) <= set(frames[3].doc_id) and times.max() <= 2
