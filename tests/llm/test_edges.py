@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -441,6 +442,49 @@ def test_ann(spark):
     assert len(ann.search(few, few.filter("vec_id = 0")).collect()) == 4
 
 
+def test_ann_of_odd_vectors(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(60)] + [(20, rng.normal(size=6).tolist())] * 2  # a repeated id
+    rows += [(i, [float(rng.normal())]) for i in range(100, 130)]  # one component
+    rows += [(i, (rng.normal(size=3) * 1e170).tolist()) for i in range(200, 225)]  # products overflow
+    rows += [(i, (rng.normal(size=2) * 1e9).round().tolist()) for i in range(300, 340)] + [(341, [0.0, 0.0]), (360, None), (380, [1.0, None])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = ann.search(table, F.col("vec_id") % 20 == 0, centroids=1).collect()  # one pair: all is visited
+    sizes = {}
+    for i, q in enumerate(rows):
+        if q[0] % 20 or q[1] is None or None in q[1] or not any(q[1]):
+            continue
+        with np.errstate(over="ignore", invalid="ignore"):
+            found = [(float((np.array(q[1]) * np.array(v)).sum()), j) for k, (j, v) in enumerate(rows) if k != i and v is not None and len(v) == len(q[1]) and None not in v and any(v)]
+        key = lambda x: (-(x[0] if x[0] == x[0] else float("-inf")), x[1])
+        top = sorted(found, key=key)[:20]
+        got = [r for r in out if r["query_id"] == q[0]]
+        same = sum(r[0] == q[0] for r in rows)
+        assert len(got) == same * len(top)
+        for rank, (s, j) in enumerate(top, 1):
+            assert [(r["vec_id"], str(r["score"])) for r in got if r["rank"] == rank].count((j, str(s))) >= 1
+        sizes[len(q[1])] = len(top)
+    assert set(sizes) == {1, 2, 3, 6}
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_ann_recall_on_the_tables(spark, sf):
+    path = f"/root/testdata/sf{sf}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    table = spark.read.parquet(path)
+    out = ann.search(table, F.col("vec_id") % 20 == 0).toPandas()
+    rows = table.toPandas().dropna()
+    x, ids = np.stack(rows.embedding).astype(float), rows.vec_id.to_numpy()
+    hits = total = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hits += len(set(ids[np.lexsort((ids, -s))[:20]]) & set(out[out.query_id == ids[i]].vec_id))
+        total += 20
+    assert hits / total >= 0.9 and len(out) == total
+
+
 def test_multi_index_walk_is_by_summed_distance():
     rng = np.random.default_rng(1)
     index = ann.MultiIndex(rng.normal(size=(6, 3)), rng.normal(size=(5, 3)))
