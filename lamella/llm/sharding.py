@@ -1,10 +1,12 @@
 """Sharding by Karmarkar-Karp differencing, for near equal bytes.
 
-Equal texts are one indivisible group, unless they are more than a whole shard's share: then a hash deals the rows into
-pieces of about half a share. Groups above half a task's share of a shard (at most 48 for each partition, the bound of
-what reaches the driver) are differenced first; the rest are differenced in their partitions, in runs of at most
-``run`` groups, against a partial partition that holds the large groups' loads in proportion, so that small groups fill
-what large ones leave. Differencing: while two partial partitions are left, combine the two of largest spread, oppositely ordered.
+Equal texts are one indivisible group and stay together, however many they are: a group that outweighs a shard's share
+makes its shard the largest, and the others share the rest. Groups above half a task's share of a shard (at most 48 for
+each partition, the bound of what reaches the driver) are differenced first; the rest are differenced in their partitions,
+in runs of at most ``run`` groups, against a partial partition that holds the large groups' loads in proportion, so that
+small groups fill what large ones leave. Differencing: while two partial partitions are left, combine the two of largest
+spread, oppositely ordered. A group's rows are never in one task: the join that places them can be split, and slots are
+counted by hash buckets of rows.
 
 Defined results: null text has no bytes; repeated rows get slots of their own; slots follow (bucket of a hash, id, scan
 order); an empty table gives an empty result; a null id sorts first; shards may be empty where groups are few.
@@ -72,32 +74,24 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
     groups = rows.groupBy("text_md5").agg(F.sum("size").alias("size"))
     total, n_groups = groups.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     parts = max(1, min(4096, shuffle_partitions(spark), n_groups // (100 * shards)))  # enough groups in each to level it
-    share = total / shards
-    hot = groups.filter(F.col("size") > share).collect()  # fewer than shards
-    chunk = F.lit(0)
-    for x in hot:
-        chunk = F.when(F.col("text_md5") == x["text_md5"], F.pmod(F.xxhash64("doc_id", "u"), F.lit(int(np.ceil(2 * x["size"] / share)))).cast("int")).otherwise(chunk)
-    rows = rows.withColumn("chunk", chunk)
-    items = rows.groupBy("text_md5", "chunk").agg(F.sum("size").alias("size"))
-    large = share / parts / 2
-    big = sorted(items.filter(F.col("size") > large).collect(), key=lambda x: (-x["size"], x["text_md5"], x["chunk"]))  # at most 2 x shards x parts
+    large = total / shards / parts / 2
+    big = sorted(groups.filter(F.col("size") > large).collect(), key=lambda x: (-x["size"], x["text_md5"]))  # at most 2 x shards x parts
     placed = differencing(np.array([x["size"] for x in big], dtype=np.float64), shards)
     loads = np.bincount(placed, weights=[x["size"] for x in big], minlength=shards).astype(float) if big else np.zeros(shards)
     small_total = max(1.0, total - loads.sum())
 
     def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = pd.concat([*frames, pd.DataFrame({"text_md5": [], "chunk": [], "size": []})])
-        held = held.sort_values(["text_md5", "chunk"])
+        held = pd.concat([*frames, pd.DataFrame({"text_md5": [], "size": []})]).sort_values("text_md5")
         for at in range(0, len(held), run):
             x = held.iloc[at : at + run]
             sizes = x["size"].to_numpy(dtype=np.float64)
-            yield x[["text_md5", "chunk"]].assign(shard=differencing(sizes, shards, loads * (sizes.sum() / small_total)))
+            yield x[["text_md5"]].assign(shard=differencing(sizes, shards, loads * (sizes.sum() / small_total)))
 
-    kind = "text_md5 string, chunk int, shard int"
-    small = items.filter(F.col("size") <= large).repartition(parts, "text_md5").mapInPandas(local, kind)
-    of_big = spark.createDataFrame([(x["text_md5"], x["chunk"], int(s)) for x, s in zip(big, placed)], kind)
+    kind = "text_md5 string, shard int"
+    small = groups.filter(F.col("size") <= large).repartition(parts, "text_md5").mapInPandas(local, kind)
+    of_big = spark.createDataFrame([(x["text_md5"], int(s)) for x, s in zip(big, placed)], kind)
     where = materialize(small.unionByName(of_big))
-    out = rows.join(where, ["text_md5", "chunk"]).withColumn("sub", F.pmod(F.xxhash64("doc_id", "u"), F.lit(parts)))
+    out = rows.join(where, "text_md5").withColumn("sub", F.pmod(F.xxhash64("doc_id", "u"), F.lit(parts)))
     out = materialize(out.select("doc_id", "size", "text_crc32", "text_md5", "shard", "sub", "u"))
     counts = out.groupBy("shard", "sub").count()
     starts = counts.select("shard", "sub", (F.sum("count").over(Window.partitionBy("shard").orderBy("sub")) - F.col("count")).alias("start"))  # parts rows a shard

@@ -285,8 +285,32 @@ def test_sharding(spark):
     assert len(out) == 11 and out["size"].min() == 8 and out.groupby("shard").slot.apply(lambda s: sorted(s) == list(range(len(s)))).all()
     assert sharding.assign(empty(spark)).count() == 0
     many = sharding.assign(docs(spark, [(i, f"text {i}" * (i % 9)) for i in range(400)] + [(1000 + i, "same text " * 5) for i in range(200)])).toPandas()
-    load = many.groupby("shard")["size"].sum()
-    assert len(load) == 24 and load.max() <= 1.1 * load.mean()
+    assert many.groupby("text_crc32").shard.nunique().max() == 1  # a group that is more than a shard's share stays whole
+    load = many[many.doc_id < 1000].groupby("shard")["size"].sum()
+    hot = many[many.doc_id >= 1000].shard.iloc[0]
+    assert (many.shard == hot).sum() == 200 and len(load) == 23 and load.max() <= 1.1 * load.mean()
+
+
+def test_sharding_null_ids_and_repeated_rows(spark):
+    rows = [(None, "a"), (None, "b"), (None, None), (1, "a"), (1, "a")] * 3 + [(i, f"t{i}" * 9) for i in range(60)]
+    out = sharding.assign(docs(spark, rows)).toPandas()
+    assert len(out) == 75 and out.doc_id.isna().sum() == 9 and out.groupby("text_crc32").shard.nunique().max() == 1
+    assert out.groupby("shard").slot.apply(lambda s: sorted(s) == list(range(len(s)))).all()
+
+
+def test_differencing_against_brute_force():
+    """The largest differencing method by the book: lists of subset sums, the two of largest spread at a time."""
+    rng = np.random.default_rng(11)
+    for n, k in ((1, 3), (7, 3), (12, 4), (9, 2), (40, 5)):
+        sizes = rng.integers(1, 100, size=n).astype(float)
+        parts = [[[s]] + [[] for _ in range(k - 1)] for s in sizes]
+        spread = lambda p: max(map(sum, p)) - min(map(sum, p))
+        while len(parts) > 1:
+            parts.sort(key=spread)
+            a, b = (sorted(p, key=sum) for p in (parts.pop(), parts.pop()))
+            parts.append([x + y for x, y in zip(a, reversed(b))])
+        sums = np.bincount(sharding.differencing(sizes, k), weights=sizes, minlength=k)
+        assert sums.max() - sums.min() <= spread(parts[0]) + max(sizes) / 4
 
 
 def test_packing(spark):
