@@ -4,12 +4,14 @@ Sizes are exact word counts. The targets come from the sources' totals: each sha
 times the source, and the excess is shared again by weight. A source takes all its documents ``floor(target / size)``
 times; for the budget that remains, its documents are counted by exact size, every size gives its proportional share
 (rounded so that no run of sizes is a whole document off), and a bounded-knapsack dynamic program (binary splitting over
-bit sets) over the counts that are left closes the gap of about ``RESERVE`` mean documents, to the word where some subset does. A size's documents are taken in the order of a seeded hash: the counts of 256 hash
+bit sets) over the counts that are left closes the gap of about ``RESERVE`` mean documents, to the word where some subset
+does. The program's table is ``REACH`` words wide; a wider gap (the mean document then has over 260,000 words) first goes to
+the longest documents. Texts are read once: sizes are stored with the rows' numbers. A size's documents are taken in the order of a seeded hash: the counts of 256 hash
 buckets say which buckets go in whole, and only the bucket at the edge is ranked, so no size or source gathers in a task.
 
 Defined results: null text has size 0; a document of size 0 takes 0 words and stays once in the repeated form; a null
 source is a source of its own, the last; repeated rows are documents of their own; ties in the hash fall to the id,
-then to scan order; an empty table gives an empty result. The driver sees one total for each source, at most
+then to the stored number; an empty table gives an empty result. The driver sees one total for each source, at most
 ``max_sources`` of them, beyond which an error is raised; a task of the fit sees the distinct sizes of one source.
 """
 
@@ -20,9 +22,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import table, word_count
+from lamella.llm.common import materialize, table, word_count
 
-WEIGHTS, SHARE, CAP, SEED, BUCKETS, MAX_SOURCES, REACH, RESERVE = (5, 2, 1), 1.5, 2, 20, 256, 100_000, 1 << 16, 4
+WEIGHTS, SHARE, CAP, SEED, BUCKETS, MAX_SOURCES, REACH, RESERVE = (5, 2, 1), 1.5, 2, 20, 256, 100_000, 1 << 20, 4
+SPARE = 32  # documents of a source that are left to the program at least
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, cap: float = CAP) -> list[float]:
@@ -57,10 +60,11 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, reach: int =
         if (sums + left) // total > sums // total:
             over.append(i)
         sums += left
-    keep = RESERVE * total // int(counts.sum())
+    keep, spare = RESERVE * total // int(counts.sum()), int((counts - take).sum())
     for i in np.random.default_rng(SEED).permutation(np.array(over, dtype=np.int64)).tolist():
-        if rest - int(sizes[i]) >= keep:
+        if rest - int(sizes[i]) >= keep and spare > SPARE:
             take[i] += 1
+            spare -= 1
             rest -= int(sizes[i])
     free = counts - take
     order = [int(i) for i in np.argsort(-sizes, kind="stable") if sizes[i] > 0]
@@ -91,15 +95,16 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, reach: int =
 
 def annotate(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, weights: tuple = WEIGHTS,
-    share: float = SHARE, cap: float = CAP, seed: int = SEED, max_sources: int = MAX_SOURCES,
+    share: float = SHARE, cap: float = CAP, seed: int = SEED, max_sources: int = MAX_SOURCES, carry: list[str] | None = None,
 ) -> DataFrame:
-    """All rows, as struct ``row``, with size, source_size, target and taken."""
+    """All rows, as struct ``row`` (of the columns in carry, all by default), with size, source_size, target and taken."""
     spark = docs.sparkSession
     base = docs.select(
-        F.struct("*").alias("row"), (word_count(F.col(text_col)) if size is None else size).alias("size"), F.col(id_col).alias("id"),
+        F.struct(*(carry or ["*"])).alias("row"), (word_count(F.col(text_col)) if size is None else size).alias("size"), F.col(id_col).alias("id"),
         F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias("source"),
         F.xxhash64(F.lit(seed), id_col, text_col).alias("r"), F.monotonically_increasing_id().alias("u"),
-    ).withColumn("bucket", F.pmod("r", F.lit(BUCKETS)).cast("int"))
+    )
+    base = materialize(base).withColumn("bucket", F.pmod("r", F.lit(BUCKETS)).cast("int"))
     counted = base.groupBy("source", "size", "bucket").agg(F.count("*").alias("n"))
     by_size = counted.groupBy("source", "size").agg(F.sum("n").alias("n"))
     totals = by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).limit(max_sources + 1).collect()
@@ -134,4 +139,4 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return annotate(docs).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return annotate(docs, carry=["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
