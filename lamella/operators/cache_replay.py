@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections import OrderedDict
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from lamella.functions.fold import folded
+
 
 class ByteLru:
     """Least recently used entries go until a new one fits; one larger than the budget is not kept."""
@@ -35,17 +36,13 @@ class ByteLru:
 
 
 def replay(trace: DataFrame, budget: int) -> DataFrame:
-    """trace: reader, ts, seq, key, bytes. Adds hit, evicted and held after each request. State is a reader's; readers are
-    replayed apart."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        cache, rows = ByteLru(budget), []
-        for key, size in frame.sort_values(["ts", "seq"])[["key", "bytes"]].itertuples(index=False):
-            hit = cache.get(key)
-            gone = 0 if hit else cache.put(key, int(size))
-            rows.append((hit, gone, cache.held))
-        out = frame.sort_values(["ts", "seq"])[["reader", "seq", "key"]].reset_index(drop=True)
-        out[["hit", "evicted", "held"]] = pd.DataFrame(rows, columns=["hit", "evicted", "held"])
-        return out
-
-    return trace.groupBy("reader").applyInPandas(run, "reader long, seq long, key string, hit boolean, evicted long, held long")
+    """trace: reader, ts, seq, key, bytes. Adds hit, evicted and held after each request. State is a reader's, and no larger
+    than its budget allows; traces of any length stream through."""
+
+    def step(cache: ByteLru, row) -> list[tuple]:
+        hit = cache.get(row.key)
+        gone = 0 if hit else cache.put(row.key, int(row.bytes))
+        return [(row.reader, row.seq, row.key, hit, gone, cache.held)]
+
+    rows = trace.select("reader", "ts", "seq", "key", "bytes")
+    return folded(rows, ["reader"], ["ts", "seq"], lambda: ByteLru(budget), step, None, "reader long, seq long, key string, hit boolean, evicted long, held long")

@@ -43,7 +43,7 @@ def levels(ifds: DataFrame, of: DataFrame) -> DataFrame:
     """Tiled images by falling area, with grid, downsample and codec. Philips levels halve the base and keep the grid of
     their padded images; Ventana takes images that name their level."""
     c = F.col
-    rows = ifds.join(F.broadcast(of), "path").filter(c("tiled") & ((c("vendor") != "ventana") | c("description").contains("level=")))
+    rows = ifds.join(of, "path").filter(c("tiled") & ((c("vendor") != "ventana") | c("description").contains("level=")))
     w = Window.partitionBy("path").orderBy(F.desc(c("width") * c("height")), "ifd_index")
     ranked = pyramid.regular_levels(rows).withColumn("level", F.row_number().over(w) - 1)
     base_w, base_h = F.first("width").over(w), F.first("height").over(w)
@@ -60,7 +60,7 @@ def levels(ifds: DataFrame, of: DataFrame) -> DataFrame:
 def associated(ifds: DataFrame, of: DataFrame) -> DataFrame:
     """Stripped images by name: for Aperio the second image is the thumbnail; label and macro by description."""
     c = F.col
-    rows = ifds.join(F.broadcast(of), "path").filter(~c("tiled") & c("parent_id").isNull())
+    rows = ifds.join(of, "path").filter(~c("tiled") & c("parent_id").isNull())
     text = F.lower(F.coalesce("description", F.lit("")))
     name = F.when((c("vendor") == "aperio") & (c("ifd_index") == 1), "thumbnail").when(text.contains("label"), "label").when(text.contains("macro"), "macro")
     named = rows.withColumn("name", name.otherwise(F.concat(F.lit("image_"), c("ifd_index").cast("string"))))
@@ -70,7 +70,7 @@ def associated(ifds: DataFrame, of: DataFrame) -> DataFrame:
 def slide_properties(ifds: DataFrame, of: DataFrame) -> DataFrame:
     """path, key, value: the vendor, what its description says, and micrometres per pixel from the resolution."""
     c = F.col
-    base = ifds.filter("parent_id is null and ifd_index = 0").join(F.broadcast(of), "path")
+    base = ifds.filter("parent_id is null and ifd_index = 0").join(of, "path")
     default = F.when(c("vendor") == "hamamatsu-ndpi", 3).otherwise(2)
     mpp = properties.mpp_from_resolution(c("x_resolution"), F.coalesce(c("unit"), default), 2)
     said = F.when(c("vendor") == "aperio", properties.pipe_properties(c("description"), "aperio."))

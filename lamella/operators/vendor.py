@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamella.functions.fold import folded
+
 # The TIFF compression tags.
 COMPRESSION = {1: "None", 5: "Lzw", 6: "Jpeg", 7: "Jpeg", 8: "Deflate", 32946: "Deflate", 33003: "Jp2kYcbcr", 33004: "Jp2kRgb", 33005: "Jp2kYcbcr", 50000: "Zstd"}
 # The TIFF field types (id, name, bytes of one value).
@@ -83,27 +82,25 @@ def read_groups(spans: DataFrame, by: list[str], gap: int) -> DataFrame:
 
 
 def read_groups_capped(spans: DataFrame, by: list[str], gap: int, most: int) -> DataFrame:
-    """The same with groups no longer than ``most``: a fold over each file's sorted spans."""
-    ordered = spans.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("s"))
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                *keys, spans_ = row
-                groups: list[list[int]] = []
-                for s in spans_:
-                    a, z = s["offset"], s["offset"] + s["length"]
-                    if groups and a <= groups[-1][1] + gap and max(z, groups[-1][1]) - groups[-1][0] <= most:
-                        groups[-1][1] = max(groups[-1][1], z)
-                        groups[-1][2] += 1
-                    else:
-                        groups.append([a, z, 1])
-                out += [(*keys, i + 1, a, z, n) for i, (a, z, n) in enumerate(groups)]
-            yield pd.DataFrame(out, columns=[*by, "group_id", "start", "end", "n_spans"])
-
-    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema.fields[: len(by)])
-    return ordered.mapInPandas(fold, f"{keys}, group_id long, start long, end long, n_spans long")
+    """The same with groups no longer than ``most``: an ordered fold that keeps the open group only."""
+
+    def step(state: dict, row) -> list[tuple]:
+        key, a, z = tuple(getattr(row, b) for b in by), int(row.offset), int(row.offset + row.length)
+        group = state.get("open")
+        if group and a <= group[1] + gap and max(z, group[1]) - group[0] <= most:
+            group[1], group[2] = max(group[1], z), group[2] + 1
+            return []
+        out = done(state, key)
+        state["n"], state["open"] = state.get("n", 0) + 1, [a, z, 1]
+        return out
+
+    def done(state: dict, key) -> list[tuple]:
+        key = key if isinstance(key, tuple) else (key,)
+        return [(*key, state["n"], *state["open"])] if "open" in state else []
+
+    rows = spans.select(*by, "offset", "length")
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(by)])
+    return folded(rows, by, ["offset", "length"], dict, step, done, f"{keys}, group_id long, start long, end long, n_spans long")
 
 
 def common_ratios(rows: DataFrame, by: str, scene: str, ratio: str) -> DataFrame:
