@@ -37,7 +37,7 @@ from lamella.llm.common import give_back, table
 SLOT_BITS = 22
 SLOTS = 1 << SLOT_BITS
 PREFIXES = (3, 4, 5)
-SEGMENT, MAX_TOKENS, MAX_BYTES, MAX_TOXIC, MAX_CLEAN = 64, 500_000, 1 << 20, 1000, 1500
+SEGMENT, MAX_TOKENS, MAX_BYTES, MAX_TOXIC, MAX_CLEAN = 64, 300_000, 1 << 20, 1000, 1500
 PIECE = 1 << 19  # bytes looked at together
 SPAN, NOTICED, MARGIN, LEAST_ODDS, LEAST_DOCS, LEAST_SHARE = 0.5, 0.3, 1.0, 2.0, 3, 0.02
 _LETTER = np.zeros(256, dtype=bool)
@@ -381,7 +381,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     so_far = F.sum("n").over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))  # over the chosen rows, at most max_toxic or max_clean
     rows = rows.withColumn("so_far", so_far).filter(F.col("so_far") <= max_tokens).toPandas().sort_values("id")
     features = [np.frombuffer(x, dtype="<i4").reshape(1 + len(PREFIXES), -1) for x in rows["f"]]
-    return fit(features, [np.frombuffer(x, dtype="<i4").astype(np.int64) for x in rows["c"]], rows["y"].to_numpy(dtype=np.int64))
+    model = fit(features, [np.frombuffer(x, dtype="<i4").astype(np.int64) for x in rows["c"]], rows["y"].to_numpy(dtype=np.int64))
+    del rows, features
+    give_back()
+    return model
 
 
 def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
