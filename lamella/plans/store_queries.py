@@ -257,7 +257,13 @@ def read_span_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vendor.read_groups(_spans(spark, sf_dir), ["file"], 500)
 
 
-@query()
+@query(
+    f"""with recursive {SPANS}, e as (select *, row_number() over (partition by file order by o, n) as i from spans),
+f as (select file, i, o as a, o + n as z, 1 as g from e where i = 1
+ union all select e.file, e.i, case when e.o <= f.z + 500 and greatest(f.z, e.o + e.n) - f.a <= 20000 then f.a else e.o end, case when e.o <= f.z + 500 and greatest(f.z, e.o + e.n) - f.a <= 20000 then greatest(f.z, e.o + e.n) else e.o + e.n end,
+  f.g + case when e.o <= f.z + 500 and greatest(f.z, e.o + e.n) - f.a <= 20000 then 0 else 1 end from f join e on e.file = f.file and e.i = f.i + 1)
+select file, cast(g as bigint) as group_id, min(a) as start, max(z) as "end", count(*) as n_spans from f group by file, g"""
+)
 def read_span_groups_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vendor.read_groups_capped(_spans(spark, sf_dir), ["file"], 500, 20_000)
 

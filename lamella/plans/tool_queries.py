@@ -23,18 +23,21 @@ def query(sql: str | None = None):
     return register
 
 
-TIMES = """runs as (select l_suppkey % 20 as slide, l_linenumber as workload, l_orderkey as repeat, max(cast(l_quantity * 1000 as bigint)) as b, max(cast(floor(l_extendedprice) as bigint)) as a from lineitem group by all),
-pairs as (select slide, workload, count(*) as pairs, median(b) as before, median(a) as after, cast(count(*) filter (a > b * 1.05::double and a - b >= 500) as bigint) as slower from runs group by slide, workload)"""
+TIMES = """runs as (select l_suppkey % 20 as slide, ['p50_us', 'p95_us', 'p99_us', 'peak_rss_bytes', 'mean_us'][l_linenumber % 5 + 1] as metric, l_orderkey as repeat, max(l_partkey % 150) as samples, max(cast(l_quantity * 1000 as bigint) * (l_partkey % 9 > 0)::int) as b, max(cast(floor(l_extendedprice) as bigint)) as a from lineitem group by all),
+pairs as (select slide, metric, b, a, b > 0 and a::double / b > 1.05::double and (metric = 'peak_rss_bytes' or a - b >= 500) as worse from runs where samples >= case metric when 'p95_us' then 20 when 'p99_us' then 100 else 0 end),
+s as (select slide, metric, count(*) as pairs, list_sort(list(b))[count(*) // 2 + 1] as before, list_sort(list(a))[count(*) // 2 + 1] as after, cast(count(*) filter (worse) as bigint) as slower from pairs group by slide, metric)"""
 
 
 def _runs(spark: SparkSession, sf_dir: str, value: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy(F.expr("l_suppkey % 20").alias("slide"), F.col("l_linenumber").alias("workload"), F.col("l_orderkey").alias("repeat")).agg(F.max(F.expr(value)).cast("long").alias("value"))
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey % 20 as slide", "array('p50_us', 'p95_us', 'p99_us', 'peak_rss_bytes', 'mean_us')[l_linenumber % 5] as metric", "l_orderkey as repeat", "l_partkey % 150 as samples", f"cast({value} as bigint) as value")
+    return rows.groupBy("slide", "metric", "repeat").agg(F.max("samples").alias("samples"), F.max("value").alias("value"))
 
 
-@query(f"with {TIMES} select *, pairs >= 3 and slower >= 2 and after > before * 1.05::double and after - before >= 500 as regressed from pairs where pairs >= 3")
+@query(f"with {TIMES} select *, slower >= 2 and before > 0 and after::double / before > 1.05::double and (metric = 'peak_rss_bytes' or after - before >= 500) as regressed from s where pairs >= 3")
 def perf_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sides = (_runs(spark, sf_dir, e) for e in ("cast(l_quantity * 1000 as bigint)", "floor(l_extendedprice)"))
-    return timing.summaries(*sides, ["slide", "workload"])
+    """Every ninth part makes a run of zero before."""
+    sides = (_runs(spark, sf_dir, e) for e in ("cast(l_quantity * 1000 as bigint) * if(l_partkey % 9 > 0, 1, 0)", "floor(l_extendedprice)"))
+    return timing.summaries(*sides, ["slide"])
 
 
 @query(
@@ -51,7 +54,14 @@ def route_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), timing.route(F.lit(300), F.col("p_size") * 10, F.col("p_partkey") % 5).alias("route"))
 
 
-@query()
+@query(
+    """with recursive e as (select user_id % 32 as reader, event_id as seq, user_id % 16 || ':' || cast(floor(value) as bigint) % 16 as key, cast(length(event_type) * 1000 as bigint) as n, row_number() over (partition by user_id % 32 order by ts, event_id) as i from events),
+f as (select e.reader, e.i, e.seq, e.key, false as hit, cast(0 as bigint) as evicted, case when n <= 30000 then [{'k': e.key, 'n': n}] else [] end as held from e where i = 1
+ union all select reader, i, seq, key, hit, case when hit or n > 30000 then 0 else len(held) - len(kept) end, case when hit then list_filter(held, lambda x: x.k <> key) || list_filter(held, lambda x: x.k = key) when n > 30000 then held else kept || [{'k': key, 'n': n}] end
+  from (select e.reader, e.i, e.seq, e.key, e.n, f.held, list_contains(list_transform(f.held, lambda x: x.k), e.key) as hit,
+   list_filter(f.held, lambda x, j: list_sum(list_transform(f.held[j:], lambda y: y.n)) + e.n <= 30000) as kept from f join e on e.reader = f.reader and e.i = f.i + 1))
+select reader, seq, key, hit, evicted, cast(coalesce(list_sum(list_transform(held, lambda x: x.n)), 0) as bigint) as held from f"""
+)
 def lru_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").selectExpr("user_id % 32 as reader", "ts", "event_id as seq", "concat(user_id % 16, ':', cast(floor(value) as bigint) % 16) as key", "cast(length(event_type) * 1000 as bigint) as bytes")
     return cache_replay.replay(rows, 30_000)
