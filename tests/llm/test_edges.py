@@ -63,6 +63,29 @@ def test_line_dedup(spark):
     assert line_dedup.annotate(empty(spark)).count() == 0
 
 
+def test_suffix_array_and_prefixes_against_brute_force(spark):
+    rng = random.Random(4)
+    texts = [[rng.choice("abcde" if i % 2 else "ab") for _ in range(rng.randint(1, 40))] for i in range(12)]
+    texts += [texts[1], ["x"] + texts[2] + ["y"], ["z"] * 37, ["z"] * 20]
+    rows = [(i, 7, p, ord(c), 0) for i, t in enumerate(texts) for p, c in enumerate(t)]
+    lines = spark.createDataFrame(rows, "doc long, tag long, p int, r1 long, r2 long")
+    array = line_dedup.suffix_array(lines)
+    order = [(r["doc"], r["p"]) for r in sorted(array.collect(), key=lambda r: r["rank"])]
+    count = {}
+    for t in texts:
+        for c in t:
+            count[c] = count.get(c, 0) + 1
+    assert sorted(order) == [(i, p) for i, t in enumerate(texts) for p, c in enumerate(t) if count[c] > 1]
+    shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(texts[a[0]][a[1] :], texts[b[0]][b[1] :])) if x != y), min(len(texts[a[0]]) - a[1], len(texts[b[0]]) - b[1]))
+    lcp = {r["rank"]: r["lcp"] for r in line_dedup.common_prefixes(array).collect()}
+    ranks = sorted(r["rank"] for r in array.collect())
+    assert [lcp[r] for r in ranks[1:]] == [shared(a, b) for a, b in zip(order, order[1:])]
+    # neighbours share as much as any two suffixes do
+    for k, a in enumerate(order):
+        best = max(shared(a, b) for b in order if b != a)
+        assert best == max(lcp.get(r, 0) for r in ranks[k : k + 2])
+
+
 @pytest.mark.parametrize("min_lines", [1, 2, 3, 5])
 def test_line_dedup_against_brute_force(spark, min_lines):
     rng = random.Random(min_lines)
