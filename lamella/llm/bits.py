@@ -35,6 +35,11 @@ def mask(h: Column) -> Column:
     return bit(40).bitwiseOR(bit(48))
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once a row, however often a test uses it: generated, so that it is not put in its place."""
+    return rows.withColumn(name, F.explode(F.array(value)))
+
+
 def probe(words: DataFrame, bits: int) -> Callable[[Column], Column]:
     """words: w, m, each w once. A test of hashes: whether both bits are set."""
     every = words.sparkSession.range(bits // 64).withColumnRenamed("id", "w").join(words, "w", "left")

@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm.bits import MAX_BITS, bits_for, mask, probe, word
+from lamella.llm.bits import MAX_BITS, bits_for, mask, once, probe, word
 from lamella.llm.common import SPACES, materialize, table, text_or_empty
 
 
@@ -44,7 +44,7 @@ def repeated(hashes: DataFrame, bits: int) -> Callable[[Column], Column]:
 def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The columns of docs as one struct, and id, n, norm, h."""
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
-    return rows.select("row", "id", F.length("t").alias("n"), normalised(F.col("t")).alias("norm")).withColumn("h", F.xxhash64("norm"))
+    return once(rows.select("row", "id", "t", F.length("t").alias("n"), normalised(F.col("t")).alias("norm")), "h", F.xxhash64("norm")).drop("t")
 
 
 def _groups(suspects: DataFrame) -> DataFrame:

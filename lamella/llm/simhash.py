@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lamella.llm.bits import key_filter
+from lamella.llm.bits import key_filter, once
 from lamella.llm.common import give_back, materialize, table
 
 WORDS, RADIUS, SEED, TILE, SPLIT_AT = 4, 4, 42, 128, 20_000
@@ -353,7 +353,7 @@ def verified_links(texts: DataFrame, candidates: DataFrame, values: DataFrame, w
     blocks = members.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"))
     placed = materialize(members.join(blocks, "root").select("node", "root", "first.id", "first.th", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")))
     asked = key_filter(materialize(placed.select(F.xxhash64("id", "th").alias("h"))))
-    few = texts.filter(asked(F.xxhash64("id", "th")))  # other texts do not shuffle
+    few = once(texts, "h", F.xxhash64("id", "th")).filter(asked(F.col("h"))).drop("h")  # other texts do not shuffle
     held = few.join(placed, ["id", "th"]).dropDuplicates(["id", "th"]).select("root", "node", "blocks", "block", distinct("t").alias("set"))
     return _block_pairs(held, "root", ["node", "set"]).mapInArrow(_link_sets(similarity), "a long, b long")
 
@@ -387,11 +387,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep = materialize(roots.select("keep.id", "keep.th").join(rows.groupBy("id", "th").count(), ["id", "th"]))
     # rows that go, or come several times; all others pass without a shuffle
     marked = materialize(rows.join(keep.filter("count = 1"), ["id", "th"], "left_anti").select(F.xxhash64("id", "th").alias("h")))
-    of_marked = key_filter(marked)(F.xxhash64("id", "th"))
-    kept = key(docs).drop("t").filter(of_marked).join(keep, ["id", "th"])
-    once = kept.filter(F.col("count") == 1).select("row")
+    of_marked = key_filter(marked)(F.col("h"))
+    hashed = once(key(docs).drop("t"), "h", F.xxhash64("id", "th"))
+    kept = hashed.filter(of_marked).drop("h").join(keep, ["id", "th"])
+    alone = kept.filter(F.col("count") == 1).select("row")
     again = kept.filter(F.col("count") > 1).dropDuplicates(["id", "th"]).select("row")
-    return key(docs).filter(~of_marked).select("row").unionByName(once).unionByName(again).select("row.*")
+    return hashed.filter(~of_marked).select("row").unionByName(alone).unionByName(again).select("row.*")
 
 
 def _mark(edges: DataFrame) -> tuple:
