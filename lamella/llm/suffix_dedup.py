@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from lamella.llm.common import materialize, table
+from lamella.llm.bits import key_filter, once
+from lamella.llm.common import give_back, materialize, table
 
 LENGTH, K, SPLIT_AT = 100, 20, 20_000
 PIECE, BUCKET = 1 << 20, 1 << 19
@@ -309,6 +310,7 @@ def _scan(length: int, emit: Callable, bits=None):
                     keep = _has(bits.value, h)
                     d, a, z, place, h, f = (x[keep] for x in (d, a, z, place, h, f))
                 yield emit(data, doc[d], (a << _SPAN) | (z - a), z - a + length, place, h, f)
+        give_back()
 
     return run
 
@@ -364,6 +366,7 @@ def _index_groups(length: int):
                 done = row[0]
         if held:
             yield flush()
+        give_back()
 
     return run
 
@@ -434,8 +437,13 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, split_at: int = SPLIT_AT) -> DataFrame:
     """One row a document: doc_id, n_bytes, spans (array<struct<start, end>>, bytes, maximal), kept_sha256."""
     keyed = numbered(docs, id_col, text_col)
-    per_doc = later_ranges(keyed.select("doc", "content"), length, split_at).groupBy("doc").agg(F.collect_list("val").alias("vals"))
-    joined = keyed.join(per_doc, "doc", "left")
+    per_doc = materialize(later_ranges(keyed.select("doc", "content"), length, split_at).groupBy("doc").agg(F.collect_list("val").alias("vals")))
+    # documents that lose nothing do not shuffle
+    some = key_filter(materialize(per_doc.select(F.xxhash64("doc").alias("h"))))(F.col("h"))
+    hashed = once(keyed, "h", F.xxhash64("doc"))
+    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
+    untouched = hashed.filter(~some).select(F.col("id").alias("doc_id"), F.octet_length("content").cast("long").alias("n_bytes"), none.alias("spans"), F.sha2("content", 256).alias("kept_sha256"))
+    joined = hashed.filter(some).drop("h").join(per_doc, "doc", "left")
 
     @F.pandas_udf("n_bytes long, spans array<struct<start:long,end:long>>, kept_sha256 string")
     def cut(contents: pd.Series, vals: pd.Series) -> pd.DataFrame:
@@ -456,7 +464,7 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             out.append((len(raw), [{"start": a, "end": b} for a, b in spans], digest.hexdigest()))
         return pd.DataFrame(out, columns=["n_bytes", "spans", "kept_sha256"])
 
-    return joined.select(F.col("id").alias("doc_id"), cut("content", "vals").alias("x")).select("doc_id", "x.*")
+    return untouched.unionByName(joined.select(F.col("id").alias("doc_id"), cut("content", "vals").alias("x")).select("doc_id", "x.*"))
 
 
 def removed_text(text: bytes, spans: list[tuple[int, int]]) -> bytes:
