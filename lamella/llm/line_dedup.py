@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import SparkSession
 
-from lamella.llm.bits import key_filter
+from lamella.llm.bits import key_filter, once
 from lamella.llm.common import materialize, table, text_or_empty
 
 MIN_LINES = 3
@@ -142,8 +142,8 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     t = text_or_empty(text_col)
     keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(t).alias("tag"), t.alias("t"))
     ids = keyed.select("doc", "tag", F.transform(F.split("t", "\n"), lambda x: F.struct(F.xxhash64(x).alias("r1"), F.crc32(x.cast("binary")).alias("r2"))).alias("ids"))
-    once = ids.groupBy("doc", "tag").agg(F.min("ids").alias("ids"))
-    lines = materialize(once.select("doc", "tag", F.posexplode("ids").alias("p", "x")).select("doc", "tag", "p", "x.r1", "x.r2"))
+    single = ids.groupBy("doc", "tag").agg(F.min("ids").alias("ids"))
+    lines = materialize(single.select("doc", "tag", F.posexplode("ids").alias("p", "x")).select("doc", "tag", "p", "x.r1", "x.r2"))
     late = materialize(repeated_windows(lines, min_lines).groupBy("doc", "tag").agg(F.collect_list("p").alias("starts"), F.max("longest").alias("longest")))
 
     @F.pandas_udf("n_lines long, runs array<struct<start:long,end:long>>, kept_text string")
@@ -163,10 +163,11 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         return pd.DataFrame(out, columns=["n_lines", "runs", "kept_text"])
 
     # documents that lose nothing do not shuffle
-    some = key_filter(materialize(late.select(F.xxhash64("doc", "tag").alias("h"))))(F.xxhash64("doc", "tag"))
+    some = key_filter(materialize(late.select(F.xxhash64("doc", "tag").alias("h"))))(F.col("h"))
+    keyed = once(keyed, "h", F.xxhash64("doc", "tag"))
     none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
     untouched = keyed.filter(~some).select(F.col("id").alias("doc_id"), (F.length("t") - F.length(F.replace("t", F.lit("\n"))) + 1).cast("long").alias("n_lines"), none.alias("runs"), F.lit(0).cast("long").alias("longest"), F.col("t").alias("kept_text"))
-    joined = keyed.filter(some).join(late, ["doc", "tag"], "left").select(F.col("id").alias("doc_id"), F.coalesce("longest", F.lit(0)).alias("longest"), cut("t", "starts").alias("x"))
+    joined = keyed.filter(some).drop("h").join(late, ["doc", "tag"], "left").select(F.col("id").alias("doc_id"), F.coalesce("longest", F.lit(0)).alias("longest"), cut("t", "starts").alias("x"))
     return untouched.unionByName(joined.select("doc_id", "x.n_lines", "x.runs", "longest", "x.kept_text"))
 
 
