@@ -6,10 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lamella.plans import format_queries, geometry_queries, meta_queries, pixel_queries, read_queries, store_queries, tool_queries
+from lamella.plans import container_queries, format_queries, geometry_queries, meta_queries, pixel_queries, read_queries, store_queries, tool_queries
 
 DATA = "/root/testdata/sf0.001"
-PLANS = (format_queries, geometry_queries, meta_queries, pixel_queries, read_queries, store_queries, tool_queries)
+PLANS = (container_queries, format_queries, geometry_queries, meta_queries, pixel_queries, read_queries, store_queries, tool_queries)
 SQL = {k: v for p in PLANS for k, v in p.SQL.items()}
 QUERIES = {k: v for p in PLANS for k, v in p.QUERIES.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
