@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from lamella.functions import jp2k
 from lamella.plans.fixtures import table
-from lamella.sources import cache, dicom, ets
+from lamella.operators import identity, properties, reading, tiff_layout
+from lamella.plans import read_queries
+from lamella.sources import cache, dicom, ets, mirax, registry, tiff, vms
 
 QUERIES, SQL = {}, {}
 
@@ -204,3 +206,114 @@ def cache_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cache.opened(cache.files_of(cache.packed(tiles), levels, sources))
     vendor = F.get(F.filter("m.properties", lambda p: F.get(p, F.lit(0)) == "vendor"), F.lit(0))
     return found.select("path", F.get(vendor, F.lit(1)).alias("vendor"), F.col("m.source.len").alias("source_len"), "m.complete", "error")
+
+
+def mirax_index(s: int) -> bytes:
+    """4 by 4 images, two to a position; three levels, each of half the images a side; the second record of the second level of
+    every fifth slide is left out; and three other records."""
+    levels = [[(y * 4 + x, 1000 * k + y * 4 + x, 7 + s % 5, k) for y in range(0, 4, 1 << k) for x in range(0, 4, 1 << k) if not (s % 5 == 0 and k == 1 and y * 4 + x == 2)] for k in range(3)]
+    return mirax.written(f"ID{s % 10}", levels, [(100 + s, 20, 0), (200, 21, 1), (300, 22, 0)])
+
+
+_MIRAX = "r as (select s_suppkey as s, l as level, x, y, l as file from supplier, (select unnest([0, 1, 2]) as l), (select unnest([0, 1, 2, 3]) as x), (select unnest([0, 1, 2, 3]) as y) where x % (1 << l) = 0 and y % (1 << l) = 0 and not (s_suppkey % 5 = 0 and l = 1 and y * 4 + x = 2))"
+
+
+@query(f"""with {_MIRAX} select s || '.dat' as path, cast(level as int) as level, cast(y * 4 + x as int) as image_index, cast(1000 * level + y * 4 + x as bigint) as "offset", cast(7 + s % 5 as bigint) as length, cast(file as int) as file, null as error from r""")
+def mirax_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mirax.records(made(spark, sf_dir, "dat", mirax_index), 3, 3)
+
+
+@query("""select s_suppkey || '.dat' as path, n as name, cast(case n when 'macro' then 100 + s_suppkey else 300 end as bigint) as "offset", cast(case n when 'macro' then 20 else 22 end as bigint) as length, cast(0 as int) as file, null as error from supplier, (select unnest(['macro', 'label']) as n)""")
+def mirax_associated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mirax.associated(made(spark, sf_dir, "dat", mirax_index), 3, {"macro": 0, "label": 2})
+
+
+@query(
+    f"""with {_MIRAX}, t as (select *, unnest(range(0, case when level = 2 then 2 else 1 end)) as xi from r), u as (select *, unnest(range(0, case when level = 2 then 2 else 1 end)) as yi from t),
+v as (select *, x + xi * 2 as xx, y + yi * 2 as yy from u), w as (select *, xx // 2 as xp, yy // 2 as yp from v), p as (select *, s % 3 = 0 and xp = 1 and yp = 1 as unused, xp * 900 + s % 7 as px, yp * 800 + s % 5 as py from w),
+c as (select s, level, x // (case when level > 0 then 2 else 1 end) + xi as col, y // (case when level > 0 then 2 else 1 end) + yi as "row", (px + 500 * (xx - xp * 2)) / (1 << level)::double as pos_x, (py + 450 * (yy - yp * 2)) / (1 << level)::double as pos_y,
+  case level when 0 then 500 - 20 / 2.0 when 1 then 500 - 20 / 1.0 else 250 - 20 / 1.0 end::double as ax, case level when 0 then 450 - 10 / 2.0 when 1 then 450 - 10 / 1.0 else 225 - 10 / 1.0 end::double as ay, xi * 250 as src_x, 1000 * level + y * 4 + x as o from p where not unused)
+select s || '.dat' as path, cast(level as int) as level, cast(col as bigint) as col, cast("row" as bigint) as "row", round(pos_x - col * ax, 6) as off_x, round(pos_y - "row" * ay, 6) as off_y, cast(src_x as bigint) as src_x, cast(o as bigint) as "offset" from c"""
+)
+def mirax_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third slide does not use its last position."""
+    found = mirax.records(made(spark, sf_dir, "dat", mirax_index), 3, 3).drop("error")
+    paths = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as s", "concat(s_suppkey, '.dat') as path")
+    levels = paths.selectExpr("path", "explode(array(0, 1, 2)) as level").selectExpr("path", "level", "shiftleft(1, level) as concat", "500 as image_w", "450 as image_h", "20D as overlap_x", "10D as overlap_y")
+    levels = mirax.level_parameters(levels, F.lit(2), F.lit(True))
+    slides = paths.selectExpr("path", "4 as images_x", "4 as images_y", "2 as divisions", "500 as image0_w", "450 as image0_h")
+    positions = paths.selectExpr("s", "path", "explode(array(0, 1, 2, 3)) as position").selectExpr("path", "position", "if(s % 3 = 0 and position = 3, 0, position % 2 * 900 + s % 7) as px", "if(s % 3 = 0 and position = 3, 0, position div 2 * 800 + s % 5) as py")
+    out = mirax.tiles(found, levels, slides, positions)
+    return out.select("path", "level", "col", "row", F.round("off_x", 6).alias("off_x"), F.round("off_y", 6).alias("off_y"), "src_x", "offset")
+
+
+def _vms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "supplier").selectExpr(
+        "concat(s_suppkey, '.vms') as path",
+        "posexplode(array('[Virtual Microscope Specimen]', 'NoJpegColumns=2', 'NoJpegRows = 1', concat('ImageFile=a', s_suppkey, '.jpg'), if(s_suppkey % 4 = 0, 'ImageFile(x)=bad', 'ImageFile(1,0)=b.jpg'), 'ImageFile(1, 0, 0)=layer.jpg', 'SourceLens=40', concat('PhysicalWidth=', s_suppkey * 1000), '; comment', '[Other]', 'ImageFile=no')) as (n, line)",
+    )
+    return properties.parse_ini(lines, "path")
+
+
+@query(
+    """select s_suppkey || '.vms' as path, cast(c as bigint) as shard, cast(c as int) as col, cast(0 as int) as "row", case when c = 0 then 'a' || s_suppkey || '.jpg' else 'b.jpg' end as file, case when s_suppkey % 4 = 0 then 'MissingShard' end as error
+from supplier, (select unnest([0, 1]) as c) where c = 0 or s_suppkey % 4 > 0"""
+)
+def vms_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _vms(spark, sf_dir)
+    return vms.shards(vms.images(pairs), pairs).withColumn("shard", F.col("shard").cast("long"))
+
+
+@query("select s_suppkey || '.vms' as path, 'hamamatsu' as vendor, '40' as lens, case when s_suppkey > 0 then round(s_suppkey * 1000 / 5000.0::double, 9) end as mpp, 'a' || s_suppkey || '.jpg' as image from supplier")
+def vms_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _vms(spark, sf_dir)
+    found = vms.properties(pairs, pairs.select("path").distinct().selectExpr("path", "5 as width", "5 as height"))
+    value = lambda k: F.max(F.when(F.col("key") == k, F.col("value")))
+    return found.groupBy("path").agg(value("vendor").alias("vendor"), value("objective-power").alias("lens"), F.round(value("mpp-x").cast("double"), 9).alias("mpp"), value("hamamatsu.ImageFile").alias("image"))
+
+
+@query(
+    """select p as path, case when p like '%.tif' then 'tiff' when p like '%.dcm' then 'dicom' when p like '%.svcache' then 'svcache' when p like '%.own' then 'own' end as vendor, case when p like '%.txt' then 'UnsupportedFormat' end as error
+from (select s_suppkey || e as p from supplier, (select unnest(['.tif', '.dcm', '.svcache', '.own', '.txt']) as e) where s_suppkey % 3 = 0 or e in ('.own', '.txt'))"""
+)
+def registry_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated files of three formats, one of a user's own backend, and one of none."""
+    own = registry.Registry.builtin().register(registry.Backend("own", lambda path, head: F.startswith(head, F.lit("OWN").cast("binary"))))
+    return own.detect(_mixed(spark, sf_dir)).select("path", "vendor", "error")
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = F.split("path", r"\.")[0].cast("long") % 3 == 0
+    files = made(spark, sf_dir, "tif", read_queries.slide).unionByName(made(spark, sf_dir, "dcm", dicom_file)).filter(some)
+    levels, tiles, sources = _stored(spark, sf_dir)
+    files = files.unionByName(cache.files_of(cache.packed(tiles), levels, sources).filter(some))
+    return files.unionByName(made(spark, sf_dir, "own", lambda s: b"OWN%d" % s)).unionByName(made(spark, sf_dir, "txt", lambda s: b"text"))
+
+
+@query(
+    """with s as (select s_suppkey as s from supplier where s_suppkey % 3 = 0) select 'tiff' as vendor, s || '.tif' as path, cast(count(*) * 2 as bigint) as n from s group by s union all select 'dicom', s || '.dcm', 1 from s union all select 'svcache', s || '.svcache', 2 from s"""
+)
+def registry_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each backend's reader makes of its files: levels, instances, levels."""
+    found = registry.Registry.builtin().open(_mixed(spark, sf_dir))
+    count = lambda vendor, name: found[vendor][name].groupBy("path").agg(F.count("*").alias("n")).select(F.lit(vendor).alias("vendor"), "path", "n")
+    return count("tiff", "levels").unionByName(count("dicom", "instances")).unionByName(count("svcache", "levels"))
+
+
+@query(
+    """with s as (select s_suppkey as s, (48 + s_suppkey % 23) // 2 as w, (40 + s_suppkey % 17) // 2 as h from supplier where s_suppkey % 6 = 0), t as (select *, unnest(range(0, (w + 15) // 16 * ((h + 15) // 16) * 768)) as i from s),
+p as (select *, i // 768 % ((w + 15) // 16) * 16 + i % 768 // 3 % 16 as x, i // 768 // ((w + 15) // 16) * 16 + i % 768 // 48 as y, i % 3 as k from t),
+b as (select s, i, lpad(lower(hex(case when x < w and y < h then (s * 7 + 11 + x * 3 + y * 5 + k * 31) % 251 else 0 end)), 2, '0') as v from p), d as (select s, string_agg(v, '' order by i) as v from b group by s),
+n as (select string_agg('tiff.' || n || chr(0) || case when n = 'ImageDescription' then 'Aperio Image|AppMag = 20|MPP = 0.5' else '' end || chr(0), '' order by o) as t from (select unnest(['ImageDescription', 'Make', 'Model', 'Software', 'DateTime', 'Artist', 'HostComputer', 'Copyright', 'DocumentName']) as n, unnest(range(0, 9)) as o))
+select s || '.tif' as path, sha256(unhex(d.v) || encode(n.t)) as quickhash, substr(sha256(unhex(d.v) || encode(n.t)), 1, 32) as dataset_id from d, n"""
+)
+def tiff_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uncompressed slides, by the bytes of their lower level and their texts."""
+    files = made(spark, sf_dir, "tif", read_queries.slide).filter(F.split("path", r"\.")[0].cast("long") % 6 == 0)
+    tags = tiff.tags_of(files)
+    ifds = tiff_layout.images(tags)
+    levels = tiff_layout.levels(ifds, tiff_layout.vendors(ifds))
+    lowest = levels.groupBy("path").agg(F.max_by("ifd_id", "level").alias("ifd_id"), F.min_by("ifd_id", "level").alias("top"))
+    ranges = reading.fetch(reading.places(tags).join(lowest.select("path", "ifd_id"), ["path", "ifd_id"]), files)
+    facts = ifds.groupBy("path").agg(F.count("*").alias("ifds"), F.count_if(F.col("parent_id").isNull()).alias("top_ifds")).join(tags.groupBy("path").agg(F.bool_or("big_endian").alias("big_endian")), "path").join(lowest.select("path", "ifd_id"), "path").withColumn("big", F.lit(False))
+    return identity.tiff_identity(ranges, identity.text_properties(tags, lowest.select("path", F.col("top").alias("ifd_id"))), facts)
