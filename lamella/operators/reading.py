@@ -317,3 +317,63 @@ def retiled(streams: DataFrame, width: int, height: int) -> DataFrame:
 
     kind = streams.schema["id"].dataType.simpleString()
     return streams.select("id", "data").mapInPandas(run, f"id {kind}, col long, row long, data binary")
+
+
+def to_rgba(data: Column, channels: Column, alpha: bool = True) -> Column:
+    """8-bit interleaved samples as RGBA, or RGB: grey thrice, an absent alpha opaque."""
+
+    @F.pandas_udf("binary")
+    def of(values: pd.Series, n: pd.Series) -> pd.Series:
+        out = []
+        for d, k in zip(values, n):
+            if d is None:
+                out.append(None)
+                continue
+            a = np.frombuffer(d, np.uint8).reshape(-1, int(k))
+            rgb = np.repeat(a[:, :1], 3, axis=1) if k < 3 else a[:, :3]
+            last = a[:, 3:4] if k == 4 else np.full((len(a), 1), 255, np.uint8)
+            out.append((np.concatenate([rgb, last], axis=1) if alpha else np.ascontiguousarray(rgb)).tobytes())
+        return pd.Series(out)
+
+    return of(data, channels)
+
+
+def fitted(data: Column, width: Column, height: Column, channels: Column, to_w: Column, to_h: Column) -> Column:
+    """The upper left part of a tile; null where the tile is smaller than that."""
+
+    @F.pandas_udf("binary")
+    def of(values: pd.Series, w: pd.Series, h: pd.Series, n: pd.Series, tw: pd.Series, th: pd.Series) -> pd.Series:
+        cut = lambda d, a, b, k, c, e: None if d is None or c > a or e > b else np.ascontiguousarray(np.frombuffer(d, np.uint8).reshape(int(b), int(a), int(k))[: int(e), : int(c)]).tobytes()
+        return pd.Series([cut(*x) for x in zip(values, w, h, n, tw, th)])
+
+    return of(data, width, height, channels, to_w, to_h)
+
+
+def zeros(width: Column, height: Column, channels: Column, sample_type: Column) -> Column:
+    """What a region without tiles holds: zeros, of the channels and samples that its slide has."""
+    return F.unhex(F.repeat(F.lit("00"), (width * height * channels * model.sample_bytes(sample_type)).cast("int")))
+
+
+def read_placed(asked: DataFrame, placed: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """asked: slot, path, level, col, row. placed: path, level, col, row, src_x, src_y, tile_w, tile_h, and where the JPEG image is
+    that holds the tile (path of the data file, offset, length). The part of the image that is the tile."""
+    c = F.col
+    rows = asked.join(placed.withColumnRenamed("file_path", "data_path"), ["path", "level", "col", "row"], "left")
+    there = rows.filter("data_path is not null").withColumnRenamed("path", "slide").withColumnRenamed("data_path", "path")
+
+    @F.pandas_udf(DECODED)
+    def of(raw: pd.Series, x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series) -> pd.DataFrame:
+        out = []
+        for p, a, b, m, n in zip(raw, x, y, w, h):
+            try:
+                tile = jpeg.decode(bytes(p))[int(b) : int(b + n), int(a) : int(a + m)]
+                out.append((np.ascontiguousarray(tile).tobytes(), tile.shape[2], "Uint8", None))
+            except (ValueError, TypeError) as error:
+                out.append((None, None, None, str(error)))
+        return pd.DataFrame(out, columns=["data", "channels", "sample_type", "error"])
+
+    got = fetch(there, files).withColumn("x", of("payload", "src_x", "src_y", "tile_w", "tile_h"))
+    keys = [c("slide").alias(n) if n == "path" else c(n) for n in asked.columns]
+    good = got.select(*keys, "tile_w", "tile_h", "x.*")
+    none = rows.filter("data_path is null").select(*asked.columns, "tile_w", "tile_h", *(F.lit(None).cast(good.schema[n].dataType).alias(n) for n in ("data", "channels", "sample_type")), F.lit("TileNotStored").alias("error"))
+    return good.unionByName(none)

@@ -13,7 +13,7 @@ from lamella.functions import jp2k
 from lamella.plans.fixtures import table
 from lamella.operators import identity, properties, reading, tiff_layout
 from lamella.plans import read_queries
-from lamella.sources import cache, dicom, ets, mirax, registry, tiff, vms
+from lamella.sources import cache, czi, dicom, ets, mirax, registry, tiff, vms, zvi
 
 QUERIES, SQL = {}, {}
 
@@ -317,3 +317,64 @@ def tiff_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranges = reading.fetch(reading.places(tags).join(lowest.select("path", "ifd_id"), ["path", "ifd_id"]), files)
     facts = ifds.groupBy("path").agg(F.count("*").alias("ifds"), F.count_if(F.col("parent_id").isNull()).alias("top_ifds")).join(tags.groupBy("path").agg(F.bool_or("big_endian").alias("big_endian")), "path").join(lowest.select("path", "ifd_id"), "path").withColumn("big", F.lit(False))
     return identity.tiff_identity(ranges, identity.text_properties(tags, lowest.select("path", F.col("top").alias("ifd_id"))), facts)
+
+
+def czi_file(s: int) -> bytes:
+    """Subblocks of 20 by 12 pixels a step of 18 by 10 apart, 2 + s % 2 by 2, in scene s % 3, and their half; a thumbnail."""
+    blocks = []
+    for m, (i, j) in enumerate((i, j) for j in range(2) for i in range(2 + s % 2)):
+        value = bytes([(s * 3 + m * 40 + k) % 256 for k in range(3)])
+        dims = {"X": (i * 18 - 5, 20, 20), "Y": (j * 10 + 7, 12, 12), "M": (m, 1, 1), "S": (s % 3, 1, 1)}
+        blocks.append({"kind": 3, "compression": 0, "dims": dims, "data": value * 240})
+    blocks.append({"kind": 3, "compression": 0, "dims": {"X": (-5, 40, 20), "Y": (7, 24, 12)}, "data": bytes([s % 256] * 3) * 240})
+    return czi.written(blocks, [("Thumbnail", "JPG", b"t" * (5 + s % 4))])
+
+
+_CZI = "a as (select s_suppkey as s, unnest(range(0, 2 + s_suppkey % 2)) as i from supplier), b as (select *, unnest([0, 1]) as j from a), c as (select s, i, j, j * (2 + s % 2) + i as m from b)"
+
+
+@query(
+    f"""with {_CZI} select s || '.czi' as path, cast(m as int) as idx, 'Bgr24' as pixel_type, cast(s % 3 as bigint) as scene, cast(m as int) as m, cast(i * 18 - 5 as bigint) as x, cast(20 as bigint) as stored_w, cast(1 as bigint) as ratio, cast(720 as bigint) as length, null as error from c
+union all select s_suppkey || '.czi', 2 * (2 + s_suppkey % 2), 'Bgr24', null, null, -5, 20, 2, 720, null from supplier"""
+)
+def czi_subblocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return czi.subblocks(made(spark, sf_dir, "czi", czi_file)).select("path", "idx", "pixel_type", "scene", "m", "x", "stored_w", "ratio", "length", "error")
+
+
+@query("select s_suppkey || '.czi' as path, 'Thumbnail' as name, 'JPG' as kind, cast(5 + s_suppkey % 4 as bigint) as length, repeat('t', cast(5 + s_suppkey % 4 as int)) as text from supplier")
+def czi_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = made(spark, sf_dir, "czi", czi_file)
+    return reading.fetch(czi.attachments(files), files).select("path", "name", "kind", "length", F.col("payload").cast("string").alias("text"))
+
+
+@query(
+    f"""with {_CZI}, t as (select s_suppkey as s, unnest([0, 1, 2]) as col, p.row from supplier, (select unnest([0, 1]) as row) p), p as (select s, col, row, unnest(range(0, 256)) as k from t),
+x as (select s, col, row, k, col * 16 + k % 16 as px, row * 16 + k // 16 as py from p), v as (select x.s, x.col, x.row, x.k, max(c.m) as m from x join c on c.s = x.s and x.px >= c.i * 18 and x.px < c.i * 18 + 20 and x.py >= c.j * 10 and x.py < c.j * 10 + 12 group by all)
+select s || '.czi' as path, cast(col as bigint) as col, cast("row" as bigint) as "row", cast(sum((k % 89 + 1) * ((s * 3 + m * 40 + 2) % 256 * 3 + (s * 3 + m * 40 + 1) % 256 * 5 + (s * 3 + m * 40) % 256 * 7)) as bigint) as checksum from v group by all"""
+)
+def czi_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of 16 drawn from subblocks that overlap, later ones over earlier ones."""
+    files = made(spark, sf_dir, "czi", czi_file)
+    asked = files.select("path").withColumn("t", F.explode(F.expr("flatten(transform(array(0L, 1L, 2L), c -> transform(array(0L, 1L), r -> struct(c as col, r as row))))"))).select("path", "t.*").withColumns({"ratio": F.lit(1).cast("long"), "slot": F.concat("path", F.lit("/"), "col", F.lit("/"), "row")})
+    out = czi.read_tiles(asked, czi.subblocks(files), 16, files).filter("data is not null")
+
+    @F.pandas_udf("long")
+    def checksum(values: pd.Series) -> pd.Series:
+        return pd.Series([sum((i // 3 % 89 + 1) * b * (3, 5, 7)[i % 3] for i, b in enumerate(bytes(v))) for v in values])
+
+    return out.select("path", "col", "row", checksum("data").alias("checksum"))
+
+
+def zvi_stream(s: int) -> bytes:
+    text = f" tag {s} \0".encode("utf-16-le")
+    values = [(515, struct.pack("<Hi", 3, 100 + s)), (516, struct.pack("<Hi", 22, s)), (769, struct.pack("<Hd", 5, s + 0.25)), (1047, struct.pack("<Hi", 3, 1)), (2, struct.pack("<HI", 8, len(text)) + text), (3, struct.pack("<Hh", 11, s % 2)), (4, struct.pack("<HH", 66, 2) + b"ab"), (5, struct.pack("<H", 1))]
+    body = b"".join(v + struct.pack("<Hi", 3, t) + struct.pack("<Hi", 3, 0) for t, v in values)
+    return struct.pack("<HIHi", 3, 1, 3, len(values)) + body[: len(body) - (20 if s % 5 == 0 else 0)]
+
+
+@query("select s_suppkey as k, cast(case when s_suppkey % 5 = 0 then 5 else 7 end as int) as n, (100 + s_suppkey)::varchar as width, (s_suppkey + 0.25::double)::varchar as stage, 'tag ' || s_suppkey as text, case when s_suppkey % 2 = 1 then 'true' else 'false' end as flag from supplier")
+def zvi_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth stream is cut off after its sixth value."""
+    rows = made(spark, sf_dir, "zvi", zvi_stream).withColumn("t", zvi.tags(F.col("content")))
+    tag = lambda n: F.element_at("t", F.lit(n))
+    return rows.select(F.split("path", r"\.")[0].cast("long").alias("k"), F.size("t").alias("n"), tag(515).alias("width"), tag(769).alias("stage"), tag(2).alias("text"), tag(3).alias("flag"))
