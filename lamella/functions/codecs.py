@@ -56,11 +56,11 @@ def packbits_decode_bytes(packed: bytes, expected: int | None = None) -> bytes |
 
 def lzw_decode_bytes(packed: bytes) -> bytes | None:
     """TIFF LZW: codes from the high bit, 256 clears, 257 ends, widths grow one code early; null where a code is unknown."""
-    out, table, width, at, last = bytearray(), [], 9, 0, None
-    total = 8 * len(packed)
-    number = int.from_bytes(packed, "big")
+    out, table, width, at, last = [], [], 9, 0, None
+    total, padded = 8 * len(packed), packed + b"\0\0\0"
     while at + width <= total:
-        code = (number >> (total - at - width)) & ((1 << width) - 1)
+        byte = at >> 3
+        code = ((padded[byte] << 16 | padded[byte + 1] << 8 | padded[byte + 2]) >> (24 - (at & 7) - width)) & ((1 << width) - 1)
         at += width
         if code == 257:
             break
@@ -75,21 +75,24 @@ def lzw_decode_bytes(packed: bytes) -> bytes | None:
             entry = last + last[:1]
         else:
             return None
-        out += entry
+        out.append(entry)
         if last is not None and len(table) < 4096 - 258:
             table.append(last + entry[:1])
         last = entry
         width = min(12, max(9, (258 + len(table) + 1).bit_length()))
-    return bytes(out)
+    return b"".join(out)
 
 
 def lzw_encode_bytes(raw: bytes) -> bytes:
     """The inverse of lzw_decode_bytes; clears the table before it is full."""
-    number, bits = 0, 0
+    out, number, bits = bytearray(), 0, 0
 
     def put(code: int, width: int) -> None:
         nonlocal number, bits
         number, bits = number << width | code, bits + width
+        if bits >= 512:
+            out.extend((number >> bits % 8).to_bytes(bits // 8, "big"))
+            number, bits = number & ((1 << bits % 8) - 1), bits % 8
 
     table: dict[bytes, int] = {}
     added, width, now = 0, 9, b""
@@ -115,7 +118,7 @@ def lzw_encode_bytes(raw: bytes) -> bytes:
         width = min(12, max(9, (258 + added + 1).bit_length()))
     put(257, width)
     pad = -bits % 8
-    return (number << pad).to_bytes((bits + pad) // 8, "big")
+    return bytes(out) + (number << pad).to_bytes((bits + pad) // 8, "big")
 
 
 def _column(f):

@@ -78,11 +78,11 @@ def payload_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with r as (select l_suppkey as file, l_partkey * 100 as o, cast(l_quantity as bigint) * 3 as n from lineitem where l_linenumber = 1),
+    """with r as (select l_suppkey as file, l_partkey * 100 as o, cast(l_quantity as bigint) * 3 as n from lineitem),
 b as (select *, max(o + n) over (partition by file order by o, n rows between unbounded preceding and 1 preceding) as before from r) select file, o as "offset", n as length from b where o < before"""
 )
 def overlapping_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").selectExpr("l_suppkey as file", "l_partkey * 100 as offset", "cast(l_quantity as bigint) * 3 as length")
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey as file", "l_partkey * 100 as offset", "cast(l_quantity as bigint) * 3 as length")
     return store.overlapping(rows, ["file"]).select("file", "offset", "length")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.operators.vendor import REGISTRY, best_probe
+from lamella.sources.rows import heads
 
 
 def _starts(content: Column, *heads: str) -> Column:
@@ -45,9 +46,8 @@ def detect(files: DataFrame) -> DataFrame:
 
 def open_slides(spark: SparkSession, path: str) -> DataFrame:
     """Files under path with the backend that is for them; UnsupportedFormat where there is none."""
-    files = spark.read.format("binaryFile").load(path)
-    found = detect(files.select("path", F.substring("content", 1, 4096).alias("content")))
-    identity = files.select("path", "length", "modificationTime")
+    identity = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
+    found = detect(heads(identity, 4096))
     return identity.join(found, "path").withColumn("error", F.when(F.col("vendor").isNull(), F.coalesce("error", F.lit("UnsupportedFormat"))))
 
 

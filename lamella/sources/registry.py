@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lamella.operators import model, tiff_layout
 from lamella.operators.vendor import REGISTRY, best_probe
 from lamella.sources import cache, dicom, ets, probe, tiff
+from lamella.sources.rows import heads
 
 HEAD = 4096
 
@@ -98,7 +99,7 @@ class Registry:
 
     def open(self, files: DataFrame, options: Options = Options()) -> dict[str, dict[str, DataFrame]]:
         """files: path, and content or not. By vendor: what its reader makes of its files; under "" what was detected."""
-        heads = files.select("path", F.substring("content", 1, HEAD).alias("content")) if "content" in files.columns else _heads(files)
+        heads = files.select("path", F.substring("content", 1, HEAD).alias("content")) if "content" in files.columns else heads(files, HEAD)
         found = self.detect(heads)
         out = {"": {"detected": found}}
         for b in self.backends:
@@ -108,25 +109,6 @@ class Registry:
         return out
 
 
-def _heads(files: DataFrame) -> DataFrame:
-    sized = files.select("path", F.lit(0).cast("long").alias("offset"), F.lit(HEAD).cast("long").alias("length"))
-
-    def run(frames):
-        import pandas as pd
-
-        from lamella.sources.ranges import opened
-
-        for frame in frames:
-            out = []
-            for path in frame["path"]:
-                source = opened(path)
-                out.append((path, source.read(0, HEAD)))
-                source.close()
-            yield pd.DataFrame(out, columns=["path", "content"])
-
-    return sized.mapInPandas(run, "path string, content binary")
-
-
 def open_slides(spark: SparkSession, path: str, registry: Registry | None = None, options: Options = Options()) -> dict[str, dict[str, DataFrame]]:
     """Files under path, by position: nothing is read but heads and what the readers ask for."""
     files = spark.read.format("binaryFile").load(path).select("path")

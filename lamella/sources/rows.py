@@ -40,3 +40,20 @@ def exactly(source: Ranges, at: int, n: int) -> bytes:
     if len(raw) < n:
         raise ValueError(f"cut off at {at}")
     return raw
+
+
+def heads(files: DataFrame, n: int) -> DataFrame:
+    """files: path. path, content: the first bytes of each, read by position."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for path in frame["path"]:
+                source = opened(path)
+                try:
+                    out.append((path, source.read(0, n)))
+                finally:
+                    source.close()
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    return files.select("path").mapInPandas(run, "path string, content binary")
