@@ -99,8 +99,8 @@ class Registry:
 
     def open(self, files: DataFrame, options: Options = Options()) -> dict[str, dict[str, DataFrame]]:
         """files: path, and content or not. By vendor: what its reader makes of its files; under "" what was detected."""
-        heads = files.select("path", F.substring("content", 1, HEAD).alias("content")) if "content" in files.columns else heads(files, HEAD)
-        found = self.detect(heads)
+        first = files.select("path", F.substring("content", 1, HEAD).alias("content")) if "content" in files.columns else heads(files, HEAD)
+        found = self.detect(first)
         out = {"": {"detected": found}}
         for b in self.backends:
             if b.reader:
