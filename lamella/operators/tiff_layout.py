@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.operators import properties, pyramid, vendor
+from lamella.operators import properties, pyramid, vendor, vendor_meta
 
 # Tag numbers.
 INTS = {"width": 256, "height": 257, "tile_w": 322, "tile_h": 323, "compression": 259, "photometric": 262, "samples": 277, "planar": 284, "unit": 296}
@@ -41,9 +41,12 @@ def vendors(ifds: DataFrame) -> DataFrame:
 
 def levels(ifds: DataFrame, of: DataFrame) -> DataFrame:
     """Tiled images by falling area, with grid, downsample and codec. Philips levels halve the base and keep the grid of
-    their padded images; Ventana takes images that name their level."""
+    their padded images; Ventana takes images that name their level; of a collection of scenes these are the first scene's
+    (``scene_levels`` has all)."""
     c = F.col
+    first = scene_levels(ifds, of).filter("scene = 0 and z = 0 and c = 0").select("path", "ifd_id")
     rows = ifds.join(of, "path").filter(c("tiled") & ((c("vendor") != "ventana") | c("description").contains("level=")))
+    rows = rows.join(first.withColumn("of_scene", F.lit(True)), ["path", "ifd_id"], "left").filter((c("vendor") != "leica") | c("of_scene")).drop("of_scene")
     w = Window.partitionBy("path").orderBy(F.desc(c("width") * c("height")), "ifd_index")
     ranked = pyramid.regular_levels(rows).withColumn("level", F.row_number().over(w) - 1)
     base_w, base_h = F.first("width").over(w), F.first("height").over(w)
@@ -57,6 +60,16 @@ def levels(ifds: DataFrame, of: DataFrame) -> DataFrame:
     ).select("path", "vendor", "ifd_id", "level", F.col("public_w").alias("width"), F.col("public_h").alias("height"), "tile_w", "tile_h", "tiles_across", "tiles_down", "downsample", "codec")
 
 
+def scene_levels(ifds: DataFrame, of: DataFrame) -> DataFrame:
+    """Levels of all scenes of collections, for each z and c: path, scene, level, z, c, ifd_id, width, height, tile sizes, grid,
+    downsample, codec. The collection's XML names directories; macros are no scenes."""
+    texts = ifds.filter("parent_id is null and ifd_index = 0").join(of.filter("vendor = 'leica'"), "path").select("path", "description")
+    found = vendor_meta.collection_levels(vendor_meta.collection_images(texts, "path", "description"), "path")
+    own = ifds.filter("parent_id is null and tiled").select("path", F.col("ifd_index").alias("ifd"), "ifd_id", "tile_w", "tile_h", "compression")
+    out = pyramid.regular_levels(found.join(own, ["path", "ifd"]))
+    return out.select("path", "scene", "level", "z", "c", "ifd_id", "width", "height", "tile_w", "tile_h", "tiles_across", "tiles_down", "downsample", vendor.compression(F.col("compression")).alias("codec"))
+
+
 def associated(ifds: DataFrame, of: DataFrame) -> DataFrame:
     """Stripped images by name: for Aperio the second image is the thumbnail; label and macro by description."""
     c = F.col

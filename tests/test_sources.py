@@ -93,6 +93,18 @@ def test_layout(files):
     assert props["/s/a.svs", "aperio.AppMag"] == "40" and props["/s/a.svs", "mpp-x"] == "0.25" and props["/s/b.tif", "mpp-x"] == "0.250000"
 
 
+def test_collections_of_scenes(spark):
+    xml = """<scn xmlns="http://x"><collection sizeX="100" sizeY="100"><image name="m"><pixels><dimension ifd="0" sizeX="40" sizeY="40"/></pixels><view sizeX="100" sizeY="100" offsetX="0" offsetY="0"/></image>
+<image name="a"><pixels><dimension ifd="1" sizeX="64" sizeY="32" r="0"/><dimension ifd="2" sizeX="32" sizeY="16" r="1"/></pixels><view sizeX="30" sizeY="30" offsetX="5"/></image>
+<image name="b"><pixels><dimension ifd="3" sizeX="48" sizeY="48" r="0" c="0"/><dimension ifd="4" sizeX="48" sizeY="48" r="0" c="1"/></pixels><view sizeX="20" sizeY="20" offsetX="50"/></image></collection></scn>"""
+    data = make_tiff([image(40, 40, 16, xml), image(64, 32, 16), image(32, 16, 16), image(48, 48, 16), image(48, 48, 16)])
+    ifds = tiff_layout.images(tiff.tags_of(spark.createDataFrame([("l", data)], "path string, content binary")))
+    vendors = tiff_layout.vendors(ifds)
+    scenes = {(r["scene"], r["level"], r["c"]): (r["width"], r["tiles_across"], r["downsample"]) for r in tiff_layout.scene_levels(ifds, vendors).collect()}
+    assert scenes == {(0, 0, 0): (64, 4, 1.0), (0, 1, 0): (32, 2, 2.0), (1, 0, 0): (48, 3, 1.0), (1, 0, 1): (48, 3, 1.0)}
+    assert [(r["level"], r["width"]) for r in tiff_layout.levels(ifds, vendors).orderBy("level").collect()] == [(0, 64), (1, 32)]
+
+
 def test_probe(files):
     got = {r["path"]: (r["vendor"], r["error"]) for r in probe.detect(files).collect()}
     assert got["/s/a.svs"] == ("tiff", None) and got["/s/x.czi"][0] == "czi" and got["/s/d.dcm"][0] == "dicom" and got["/s/c.svcache"][0] == "svcache" and got["/s/j.j2k"][0] == "raw_jp2k"
