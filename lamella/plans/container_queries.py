@@ -70,7 +70,7 @@ def dicom_file(s: int) -> bytes:
 
 @query(
     """select s_suppkey || '.dcm' as path, case when s_suppkey % 7 > 0 then '9.' || s_suppkey % 5 end as series_uid, '1.2.' || s_suppkey as sop_uid, case when s_suppkey % 4 = 0 then '1.2.840.10008.1.2' else '1.2.840.10008.1.2.4.90' end as transfer_syntax, 'DERIVED,PRIMARY,VOLUME,RESAMPLED' as image_type,
- 3 as samples, cast(2 + s_suppkey % 3 as int) as frames, 240 as rows, 256 as cols, cast(1000 + s_suppkey as bigint) as total_w, cast(70000 as bigint) as total_h, case when s_suppkey % 3 > 0 then (1 + s_suppkey % 9) / 1000.0::double when s_suppkey % 2 = 1 then 0.5::double end as spacing, null as error from supplier"""
+ 3 as samples, cast(2 + s_suppkey % 3 as int) as frames, 240 as rows, 256 as cols, cast(1000 + s_suppkey as bigint) as total_w, cast(70000 as bigint) as total_h, case when s_suppkey % 3 > 0 then (1 + s_suppkey % 9) / 1000.0::double when s_suppkey % 2 = 1 then 0.5::double end as spacing, cast(null as varchar) as error from supplier"""
 )
 def dicom_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dicom.instances(made(spark, sf_dir, "dcm", dicom_file))
@@ -102,7 +102,7 @@ d as (select s, 1 as level, unnest(range(0, (2 + s % 4) // 2)) as col from s), e
 
 @query(
     f"""with {_ETS}, n as (select *, row_number() over (partition by s order by level, col, "row", z) - 1 as k from t)
-select s || '.ets' as path, cast(level as int) as level, cast(z as int) as z, cast(col as int) as col, cast("row" as int) as "row", cast(4 + k as bigint) as length, case when s % 2 = 1 then '10,20,30' else '10,10,10' end as background, 'Uint8' as sample_type, null as error from n
+select s || '.ets' as path, cast(level as int) as level, cast(z as int) as z, cast(col as int) as col, cast("row" as int) as "row", cast(4 + k as bigint) as length, case when s % 2 = 1 then '10,20,30' else '10,10,10' end as background, 'Uint8' as sample_type, cast(null as varchar) as error from n
 union all select s_suppkey || '.ets', null, null, null, null, null, '0,0,0', null, 'pixel type 5 is not supported' from supplier where s_suppkey % 9 = 0"""
 )
 def ets_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +173,7 @@ _STORED = """l as (select s_suppkey as s, unnest([0, 1]) as level from supplier)
 t as (select *, unnest(range(0, across * down)) as tile from n), k as (select *, tile % across as col, tile // across as row, (tile % across + tile // across + s) % 3 = 0 as stored, least(16, w - tile % across * 16) as tw, least(16, h - tile // across * 16) as th from t)"""
 
 
-@query(f"with {_STORED} select s || '.svcache' as path, cast(level as int) as level, cast(w as bigint) as width, cast(across as bigint) as tiles_across, cast(count(*) filter (stored) as bigint) as n_sparse, null as error from k group by s, level, w, across")
+@query(f"with {_STORED} select s || '.svcache' as path, cast(level as int) as level, cast(w as bigint) as width, cast(across as bigint) as tiles_across, cast(count(*) filter (stored) as bigint) as n_sparse, cast(null as varchar) as error from k group by s, level, w, across")
 def cache_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels, tiles, sources = _stored(spark, sf_dir)
     found = cache.levels(cache.opened(cache.files_of(cache.packed(tiles), levels, sources)))
@@ -182,7 +182,7 @@ def cache_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with {_STORED}, p as (select s, level, col, "row" as r, tile, unnest(range(0, tw * th * 3)) as i from k where stored)
-select s || '.svcache' as path, cast(level as int) as level, cast(col as bigint) as col, cast(r as bigint) as "row", cast(sum((s + level * 5 + tile * 3 + i) % 256 * (i % 97)) as bigint) as weighted, null as error from p group by all
+select s || '.svcache' as path, cast(level as int) as level, cast(col as bigint) as col, cast(r as bigint) as "row", cast(sum((s + level * 5 + tile * 3 + i) % 256 * (i % 97)) as bigint) as weighted, cast(null as varchar) as error from p group by all
 union all select s || '.svcache', cast(level as int), cast(col as bigint), cast("row" as bigint), null, 'SlotNotPopulated' from k where not stored"""
 )
 def cache_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +200,7 @@ def cache_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("path", "level", "col", "row", weighted("data").alias("weighted"), "error")
 
 
-@query("select s_suppkey || '.svcache' as path, 'aperio' as vendor, cast(s_suppkey * 100 as bigint) as source_len, false as complete, null as error from supplier")
+@query("select s_suppkey || '.svcache' as path, 'aperio' as vendor, cast(s_suppkey * 100 as bigint) as source_len, false as complete, cast(null as varchar) as error from supplier")
 def cache_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels, tiles, sources = _stored(spark, sf_dir)
     found = cache.opened(cache.files_of(cache.packed(tiles), levels, sources))
@@ -218,12 +218,12 @@ def mirax_index(s: int) -> bytes:
 _MIRAX = "r as (select s_suppkey as s, l as level, x, y, l as file from supplier, (select unnest([0, 1, 2]) as l), (select unnest([0, 1, 2, 3]) as x), (select unnest([0, 1, 2, 3]) as y) where x % (1 << l) = 0 and y % (1 << l) = 0 and not (s_suppkey % 5 = 0 and l = 1 and y * 4 + x = 2))"
 
 
-@query(f"""with {_MIRAX} select s || '.dat' as path, cast(level as int) as level, cast(y * 4 + x as int) as image_index, cast(1000 * level + y * 4 + x as bigint) as "offset", cast(7 + s % 5 as bigint) as length, cast(file as int) as file, null as error from r""")
+@query(f"""with {_MIRAX} select s || '.dat' as path, cast(level as int) as level, cast(y * 4 + x as int) as image_index, cast(1000 * level + y * 4 + x as bigint) as "offset", cast(7 + s % 5 as bigint) as length, cast(file as int) as file, cast(null as varchar) as error from r""")
 def mirax_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mirax.records(made(spark, sf_dir, "dat", mirax_index), 3, 3)
 
 
-@query("""select s_suppkey || '.dat' as path, n as name, cast(case n when 'macro' then 100 + s_suppkey else 300 end as bigint) as "offset", cast(case n when 'macro' then 20 else 22 end as bigint) as length, cast(0 as int) as file, null as error from supplier, (select unnest(['macro', 'label']) as n)""")
+@query("""select s_suppkey || '.dat' as path, n as name, cast(case n when 'macro' then 100 + s_suppkey else 300 end as bigint) as "offset", cast(case n when 'macro' then 20 else 22 end as bigint) as length, cast(0 as int) as file, cast(null as varchar) as error from supplier, (select unnest(['macro', 'label']) as n)""")
 def mirax_associated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mirax.associated(made(spark, sf_dir, "dat", mirax_index), 3, {"macro": 0, "label": 2})
 
@@ -334,8 +334,8 @@ _CZI = "a as (select s_suppkey as s, unnest(range(0, 2 + s_suppkey % 2)) as i fr
 
 
 @query(
-    f"""with {_CZI} select s || '.czi' as path, cast(m as int) as idx, 'Bgr24' as pixel_type, cast(s % 3 as bigint) as scene, cast(m as int) as m, cast(i * 18 - 5 as bigint) as x, cast(20 as bigint) as stored_w, cast(1 as bigint) as ratio, cast(720 as bigint) as length, null as error from c
-union all select s_suppkey || '.czi', 2 * (2 + s_suppkey % 2), 'Bgr24', null, null, -5, 20, 2, 720, null from supplier"""
+    f"""with {_CZI} select s || '.czi' as path, cast(m as int) as idx, 'Bgr24' as pixel_type, cast(s % 3 as bigint) as scene, cast(m as int) as m, cast(i * 18 - 5 as bigint) as x, cast(20 as bigint) as stored_w, cast(1 as bigint) as ratio, cast(720 as bigint) as length, cast(null as varchar) as error from c
+union all select s_suppkey || '.czi', cast(2 * (2 + s_suppkey % 2) as int), 'Bgr24', null, null, -5, 20, 2, 720, null from supplier"""
 )
 def czi_subblocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return czi.subblocks(made(spark, sf_dir, "czi", czi_file)).select("path", "idx", "pixel_type", "scene", "m", "x", "stored_w", "ratio", "length", "error")

@@ -242,7 +242,7 @@ def probe_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """with a as (select p_partkey as k, cast(unnest([-1, 0, 3, 4]) as int) as level, p_size from part)
-select k, level, case when level between 0 and 3 then (1024 + 64 * p_size) >> level else -1 end as width, case when level between 0 and 3 then (768 + 48 * p_size) >> level else -1 end as height, cast(case when level between 0 and 3 then 1 << level else -1 end as double) as downsample from a"""
+select k, level, cast(case when level between 0 and 3 then (1024 + 64 * p_size) >> level else -1 end as bigint) as width, cast(case when level between 0 and 3 then (768 + 48 * p_size) >> level else -1 end as bigint) as height, cast(case when level between 0 and 3 then 1 << level else -1 end as double) as downsample from a"""
 )
 def level_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamella.plans.fixtures import levels

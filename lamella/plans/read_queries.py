@@ -121,7 +121,7 @@ union all select path, 2, 0, 0, null, null, null, null, 'LevelOutOfRange' from s
 def read_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tile of both levels, tiles past the edge, and one of a level that is not there."""
     files, tags, levels, _ = _opened(spark, sf_dir)
-    asked = files.select("path", F.explode(F.expr("transform(sequence(0, 69), i -> struct(i div 35 as level, cast(i % 35 % 7 as bigint) as col, cast(i % 35 div 7 as bigint) as row))")).alias("t")).select("path", "t.*")
+    asked = files.select("path", F.explode(F.expr("transform(sequence(0, 69), i -> struct(cast(i div 35 as int) as level, cast(i % 35 % 7 as bigint) as col, cast(i % 35 div 7 as bigint) as row))")).alias("t")).select("path", "t.*")
     asked = asked.unionByName(files.selectExpr("path", "2 as level", "0L as col", "0L as row")).withColumn("slot", F.xxhash64("path", "level", "col", "row"))
     out = reading.read_tiles(asked, levels, tags, files)
     return out.withColumn("s", _sums()).select("path", "level", "col", "row", "tile_width", "tile_height", "s.*", "error")
