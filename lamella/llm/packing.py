@@ -30,8 +30,8 @@ from lamella.llm.common import give_back, materialize, table
 
 CAPACITY, NEARLY_FULL, FAN_IN, MAX_ITEMS, CHUNK = 2048, 0.995, 8, 2_000_000, 100_000
 END_ID = 0
-CACHE_WORDS, CACHED_WORD = 80_000, 32  # of a generation (about 15 MB); longer words are not kept
-PORTION = 2_500_000
+CACHE_WORDS, CACHED_WORD, SEEN = 80_000, 32, 1 << 22  # of a generation (about 15 MB); longer words are not kept; slots
+PORTION = 4_000_000
 CLOSING = string.punctuation
 #: Words whose letters are encoded apart from closing punctuation: the last letter is in lower case, so that neither
 #: lower-casing nor composing can end it with a mark, which the tokenizer would keep with the punctuation.
@@ -42,8 +42,8 @@ class WordIds:
     """Little-endian 32-bit ids of texts, word by word: this tokenizer drops white space and never joins text across it.
 
     Of a word of letters with closing punctuation the letters and the punctuation are encoded apart, as the tokenizer
-    splits them there. Ids of words that a portion has more than once are kept, in two generations: what is used moves to the
-    young one, and the old one goes when that has CACHE_WORDS. New ones are encoded together, between end signs.
+    splits them there. Ids of words that come again, in a portion or in a later one (by a hash in SEEN slots), are kept, in two
+    generations: what is used moves to the young one, and the old one goes when that has CACHE_WORDS. New ones are encoded together, between end signs.
     """
 
     def __init__(self, path: str):
@@ -57,6 +57,7 @@ class WordIds:
         self.marks[vocabulary[self.mark]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.seen = bytearray(SEEN)
 
     def _alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -84,7 +85,7 @@ class WordIds:
 
     def _ids(self, words: list[str], again: np.ndarray) -> list[bytes]:
         """Ids of these distinct words. again: whether a word is likely to come again."""
-        young, old = self.young, self.old
+        young, old, seen = self.young, self.old, self.seen
         found = [young.get(x) for x in words]
         missing = []
         for i in [i for i, x in enumerate(found) if x is None]:
@@ -101,16 +102,21 @@ class WordIds:
         for i in missing:
             if found[i] is None:
                 found[i] = self._alone(words[i])
-            if again[i] and len(words[i]) <= CACHED_WORD:
-                young[words[i]] = found[i]
+            if len(words[i]) <= CACHED_WORD:
+                slot = hash(words[i]) % SEEN
+                if again[i] or seen[slot]:
+                    young[words[i]] = found[i]
+                seen[slot] = 1
         if len(young) > CACHE_WORDS:
-            self.young, self.old = {}, young
+            self.young, self.old, self.seen = {}, young, bytearray(SEEN)
         return found
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and where each text's begin, and the end."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        at = split.offsets.to_numpy().astype(np.int64)
         coded = split.flatten().dictionary_encode()
+        del split  # what is done with goes before the next large arrays are made
         words, which = coded.dictionary, coded.indices.to_numpy()
         stem = pc.utf8_rtrim(words, CLOSING)
         apart = pc.match_substring_regex(stem, STEM)
@@ -122,25 +128,25 @@ class WordIds:
         ids, starts, sizes = _joined(self._ids(heads, often) + self._ids(tails, np.ones(len(tails), dtype=bool)))
         parts = np.stack([first.indices.to_numpy(), second.indices.to_numpy() + len(first.dictionary)], axis=1).ravel()
         of_word, ends = _gather(ids, starts, sizes, parts)
+        del heads, tails, ids, words, stem, apart, first, second, parts, often
         flat, ends = _gather(of_word, ends[:-1:2], ends[2::2] - ends[:-1:2], which)
-        at = split.offsets.to_numpy().astype(np.int64)
         return flat, ends[at - at[0]]
 
 
 def _joined(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All ids end to end, and where each word's begin and how many they are."""
-    sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-    return np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(sizes) - sizes, sizes
+    sizes = np.fromiter(map(len, found), dtype=np.int32, count=len(found)) // 4
+    return np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(sizes, dtype=np.int64) - sizes, sizes
 
 
 def _gather(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of these items one after the other, and where each one's begin, and the end."""
     n = sizes[which]
-    ends = np.zeros(len(n) + 1, dtype=np.int64)
+    small = np.int32 if max(len(ids), int(n.sum(dtype=np.int64))) < 1 << 31 else np.int64
+    ends = np.zeros(len(n) + 1, dtype=small)
     np.cumsum(n, out=ends[1:])
-    small = np.int32 if max(len(ids), int(ends[-1])) < 1 << 31 else np.int64
     at = np.repeat((starts[which] - ends[:-1]).astype(small), n)
-    at += np.arange(ends[-1], dtype=small)
+    at += np.arange(len(at), dtype=small)
     return ids[at], ends
 
 
@@ -214,7 +220,7 @@ def _pieces(doc_ids: pa.Array, ids: np.ndarray, at: np.ndarray, capacity: int) -
 
 def _pack_texts(tokenizer_path: str, capacity: int, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, first = word_ids(tokenizer_path).of, TaskContext.get().partitionId() << 36
+        words, first = word_ids(tokenizer_path), TaskContext.get().partitionId() << 36
         held: list[pa.RecordBatch] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -232,12 +238,13 @@ def _pack_texts(tokenizer_path: str, capacity: int, chunk: int):
         for batch in batches:
             done = 0
             for texts in _portions(batch.column(1)):
-                held.append(_pieces(batch.column(0).slice(done, len(texts)), *ids_of(texts), capacity))
+                held.append(_pieces(batch.column(0).slice(done, len(texts)), *words.of(texts), capacity))
                 done += len(texts)
                 if sum(x.num_rows for x in held) >= chunk:
                     yield from flush()
         if held:
             yield from flush()
+        words.old = {}
         give_back()
 
     return run

@@ -394,6 +394,7 @@ def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     @F.pandas_udf("score double, spans array<struct<start:long,end:long,score:double>>")
     def score(texts: pd.Series) -> pd.DataFrame:
         s, spans = score_texts(texts.tolist(), held.value)
+        _powers.clear()
         give_back()
         return pd.DataFrame({"score": s, "spans": [[{"start": a, "end": b, "score": p} for a, b, p in x] for x in spans]})
 
