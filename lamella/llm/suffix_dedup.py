@@ -50,8 +50,11 @@ def _power(base: int, n: int) -> np.ndarray:
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
+    """In place."""
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def fragments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
@@ -74,25 +77,39 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> It
         n = len(b)
         if n >= length:
             sums = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(b.astype(np.uint64) * _power(_BASE, n), out=sums[1:])
+            np.multiply(_power(_BASE, n), b, out=sums[1:])
+            np.cumsum(sums, out=sums)
             inverse = _power(_INVERSE, n)
-            h = _mix((sums[k:] - sums[:-k]) * inverse[: n - k + 1])
-            least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+            h = sums[k:] - sums[:-k]
+            h *= inverse[: n - k + 1]
+            _mix(h)
+            least = h & ~low
+            least |= np.arange(len(h), dtype=np.uint64)
             s = 1
             while 2 * s <= width:
-                least = np.minimum(least[:-s], least[s:])
+                least = np.minimum(least[:-s], least[s:], out=least[:-s])
                 s *= 2
             if width > s:
                 least = np.minimum(least[: len(least) - (width - s)], least[width - s :])
             anchor = (least & low).astype(np.int64)
-            start = np.arange(at, at + len(anchor))
-            doc = np.searchsorted(offsets[d : last + 2], start, side="right") - 1 + d
-            ok = (start + length <= offsets[doc + 1]) & (start < stop)
-            turn = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-            a = np.flatnonzero(ok & np.r_[True, turn | ~ok[:-1]])
-            z = np.flatnonzero(ok & np.r_[turn | ~ok[1:], True])
+            # windows that a document has, of those that start in this piece
+            edges = offsets[d : last + 2] - at
+            first, over = np.maximum(edges[:-1], 0), np.minimum(np.minimum(edges[1:] - length + 1, stop - at), len(anchor))
+            ok = np.zeros(len(anchor) + 1, dtype=np.int8)
+            some = over > first
+            ok[first[some]] += 1
+            ok[over[some]] -= 1
+            ok = np.cumsum(ok[:-1], dtype=np.int8).view(bool)
+            turn = anchor[1:] != anchor[:-1]
+            begins = np.ones(len(anchor), dtype=bool)
+            np.logical_or(turn, ~ok[:-1], out=begins[1:])
+            begins[first[some]] = True
+            ends = np.ones(len(anchor), dtype=bool)
+            np.logical_or(turn, ~ok[1:], out=ends[:-1])
+            ends[over[some] - 1] = True
+            a, z = np.flatnonzero(ok & begins), np.flatnonzero(ok & ends)
             f = _mix((sums[z + length] - sums[a]) * inverse[a] + np.uint64(0x632BE5AB) * (z - a).astype(np.uint64) + (anchor[a] - a).astype(np.uint64))
-            own = doc[a]
+            own = np.searchsorted(edges, a, side="right") - 1 + d
             yield own, a + at - offsets[own], z + at - offsets[own], a + at, h[anchor[a]].view(np.int64), f.view(np.int64)
         at = stop
         if stop == offsets[last + 1]:
