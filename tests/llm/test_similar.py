@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lamella.llm import simhash
+from lamella.llm import common, simhash
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -137,7 +137,7 @@ def test_split_buckets_lose_no_pair(spark):
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
 def test_stage_against_brute_force(spark):
-    docs = corpus_pipeline.exact_dedup_stage(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "").localCheckpoint()
+    docs = common.materialize(corpus_pipeline.exact_dedup_stage(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), ""))
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     expected = kept({r["doc_id"]: shingles((r["text"] or "").translate(lower)) for r in docs.collect()})
     out = corpus_pipeline.near_dedup_stage(spark, docs, "")
