@@ -31,7 +31,7 @@ from lamella.llm.common import give_back, materialize, table
 CAPACITY, NEARLY_FULL, FAN_IN, MAX_ITEMS, CHUNK = 2048, 0.995, 8, 2_000_000, 100_000
 END_ID = 0
 CACHE_WORDS, CACHED_WORD = 80_000, 32  # of a generation (about 15 MB); longer words are not kept
-PORTION = 4_000_000
+PORTION = 6_000_000
 CLOSING = string.punctuation
 #: Words whose letters are encoded apart from closing punctuation: the last letter is in lower case, so that neither
 #: lower-casing nor composing can end it with a mark, which the tokenizer would keep with the punctuation.
