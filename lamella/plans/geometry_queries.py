@@ -79,7 +79,7 @@ def request_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select o_orderkey as request_id, case when o_orderkey % 2 = 0 then -1 else (o_orderkey + 1) * 1024 * 3 end as samples from orders")
 def checked_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").select(k.alias("request_id"), F.when(k % 2 == 0, (k + 1) * (1 << 40)).otherwise(k + 1).alias("w"), F.when(k % 2 == 0, 1 << 40).otherwise(1024).alias("h"))
+    rows = table(spark, sf_dir, "orders").select(k.alias("request_id"), F.when(k % 2 == 0, F.try_multiply(k + 1, F.lit(1 << 40))).otherwise(k + 1).alias("w"), F.when(k % 2 == 0, 1 << 40).otherwise(1024).alias("h"))
     return rows.select("request_id", F.coalesce(requests.checked_samples(F.col("w"), F.col("h"), F.lit(3)), F.lit(-1)).alias("samples"))
 
 
