@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lamella.operators import pyramid, reading
+from lamella.operators import dicom, pixels, pyramid, reading
 from lamella.plans import container_queries, geometry_queries, read_queries
 from lamella.sources import tiff
 
@@ -70,3 +70,19 @@ def test_regions_of_many_tiles_stream_through_a_task(spark):
     assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
     got = {r.id: (r.channels, r.data and bytes(r.data), r.error) for r in out.collect()}
     assert got[3] == (None, None, "bad") and got[2] == (1, bytes([20, 20, 21, 21] * 2), None) and len(got) == 5
+
+
+def test_a_large_folder_is_several_tasks_work(spark):
+    files = spark.range(0, 300, 1, 1).selectExpr("concat('d/f', id) as path", "concat('d', id div 1000) as folder", "if(id % 3 = 0, null, 'u') as series_uid")
+    out = dicom.siblings(files, files.filter("path like '%7'").select("path"))
+    parts = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == 20 * 200 and len(parts) > 4 and max(parts) < 2000
+    assert out.distinct().count() == 4000
+
+
+def test_pixels_are_composed_without_a_join_of_pixels(spark):
+    canvas = spark.createDataFrame([(1, 2, 2), (2, 1, 1)], "id long, w long, h long")
+    hits = spark.createDataFrame([(1, 5, 0, 0, 7), (1, 6, 0, 0, 8), (1, 5, 1, 1, 9), (1, 9, 2, 0, 1)], "id long, ordinal long, px long, py long, v int")
+    out = pixels.compose(canvas, hits, ["id"])
+    assert sorted(map(tuple, out.select("id", "px", "py", "v").collect())) == [(1, 0, 0, 8), (1, 0, 1, 0), (1, 1, 0, 0), (1, 1, 1, 9), (2, 0, 0, 0)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
