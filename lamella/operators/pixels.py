@@ -32,12 +32,13 @@ def box_downsample_pow2(pixels: DataFrame, keys: list[str], factor: int) -> Data
 
 def compose(canvas: DataFrame, hits: DataFrame, keys: list[str]) -> DataFrame:
     """canvas: keys, w, h. hits: keys, ordinal, px, py, v (pixels in region coordinates). Later ordinals overwrite; what no
-    tile covers is zero."""
+    tile covers is zero. The canvas's own pixels are the lowest of all: one grouped pass, without a join of pixels."""
     c = F.col
     inside = canvas.join(hits, keys).filter((c("px") >= 0) & (c("py") >= 0) & (c("px") < c("w")) & (c("py") < c("h")))
-    top = inside.groupBy(*keys, "px", "py").agg(F.max_by("v", "ordinal").alias("v"))
-    grid = canvas.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), c("h") - 1)).alias("py"), "w").withColumn("px", F.explode(F.sequence(F.lit(0).cast("long"), c("w") - 1))).drop("w")
-    return grid.join(top, [*keys, "px", "py"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
+    grid = canvas.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), c("h") - 1)).alias("py"), "w").withColumn("px", F.explode(F.sequence(F.lit(0).cast("long"), c("w") - 1)))
+    under = grid.select(*keys, "px", "py", F.lit(None).cast(inside.schema["ordinal"].dataType).alias("ordinal"), F.lit(None).cast(inside.schema["v"].dataType).alias("v"))
+    both = inside.select(*keys, "px", "py", "ordinal", "v").unionByName(under)
+    return both.groupBy(*keys, "px", "py").agg(F.coalesce(F.max_by("v", "ordinal"), F.lit(0)).alias("v"))
 
 
 def undo_predictor(samples: DataFrame, row_keys: list[str], order: str, bits: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.operators import pixels as px
+from lamella.operators import tables
 from lamella.plans.fixtures import PIXELS, U8, pixels, table
 
 QUERIES, SQL = {}, {}
@@ -54,11 +55,13 @@ select g.request_id, g.px, g.py, cast(coalesce(t.v, 0) as int) as v from grid g
 def compose_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """12 x 12 regions over tiles of 8 x 8 that advance by 6, so that later tiles overwrite; the level has 20 columns."""
     c = F.col
-    tiles = u8(spark, sf_dir).withColumns({"col": c("vec_id") % 20, "row": F.floor(c("vec_id") / 20)})
-    asked = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as request_id", "(s_suppkey * 7) % 100 - 4 as x0", "(s_suppkey * 11) % 80 - 4 as y0", "cast(12 as bigint) as w", "cast(12 as bigint) as h")
+    tiles = table(spark, sf_dir, "embeddings").select((c("vec_id") % 20).alias("col"), F.floor(c("vec_id") / 20).alias("row"), "embedding")
+    asked = tables.spread(table(spark, sf_dir, "supplier").select("s_suppkey"), 2000).selectExpr("s_suppkey as request_id", "(s_suppkey * 7) % 100 - 4 as x0", "(s_suppkey * 11) % 80 - 4 as y0", "cast(12 as bigint) as w", "cast(12 as bigint) as h")
     reach = lambda start: F.explode(F.sequence(F.greatest(F.floor((start - 7) / 6), F.lit(0)), F.floor((start + 11) / 6)))
     wanted = asked.withColumn("col", reach(c("x0"))).withColumn("row", reach(c("y0"))).filter("col < 20")
-    hits = wanted.join(tiles, ["col", "row"]).selectExpr("request_id", "row * 20 + col as ordinal", "col * 6 + x - x0 as px", "row * 6 + y - y0 as py", "v")
+    # a tile is one row until it has met its regions
+    joined = wanted.join(tiles, ["col", "row"]).select("request_id", "x0", "y0", "col", "row", F.posexplode("embedding").alias("i", "s")).withColumn("v", px.windowed(c("s"), -0.5, 0.5))
+    hits = joined.selectExpr("request_id", "row * 20 + col as ordinal", "col * 6 + i % 8 - x0 as px", "row * 6 + i div 8 - y0 as py", "v")
     return px.compose(asked, hits, ["request_id"]).select("request_id", "px", "py", "v")
 
 
