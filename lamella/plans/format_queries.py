@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.operators import decode, formats, requests
+from lamella.operators import tables
 from lamella.plans.fixtures import LEVELS, levels, table
 
 QUERIES, SQL = {}, {}
@@ -162,7 +163,7 @@ def batch_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select doc_id as k, cast(octet_length(encode(coalesce(text, ''))) // 3 as bigint) as pixels, true as same from documents where octet_length(encode(coalesce(text, ''))) >= 3")
 def rle_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as RGB frames, run-length coded in three planes and back."""
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.coalesce("text", F.lit("")).cast("binary").alias("t")).filter(F.octet_length("t") >= 3)
+    rows = tables.spread(table(spark, sf_dir, "documents").select("doc_id", "text"), 5000).select(F.col("doc_id").alias("k"), F.coalesce("text", F.lit("")).cast("binary").alias("t")).filter(F.octet_length("t") >= 3)
     rows = rows.withColumn("pixels", F.floor(F.octet_length("t") / 3)).withColumn("raw", F.substr("t", F.lit(1), (F.col("pixels") * 3).cast("int")))
     return rows.select("k", "pixels", (decode.rle_decode(decode.rle_encode(F.col("raw"), 3), F.col("pixels"), 3) == F.col("raw")).alias("same"))
 

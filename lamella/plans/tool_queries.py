@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lamella.functions import codecs
 from lamella.operators import cache_replay, stitching, timing
+from lamella.operators import tables
 from lamella.plans.fixtures import table
 from lamella.streaming import pan
 
@@ -70,7 +71,7 @@ def lru_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select doc_id as k, cast(octet_length(encode(coalesce(text, ''))) as int) as n, true as packbits, true as lzw, true as deflate, true as zstd from documents")
 def payload_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text through each codec and back; whether the bytes are the same."""
-    raw = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
+    raw = tables.spread(table(spark, sf_dir, "documents").select("doc_id", "text"), 5000).select(F.col("doc_id").alias("k"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
     pairs = {"packbits": (codecs.packbits_encode, codecs.packbits_decode), "lzw": (codecs.lzw_encode, codecs.lzw_decode), "deflate": (codecs.deflate, codecs.inflate), "zstd": (codecs.zstd, codecs.unzstd)}
     return raw.select("k", F.octet_length("raw").alias("n"), *[(back(there(F.col("raw"))) == F.col("raw")).alias(n) for n, (there, back) in pairs.items()])
 

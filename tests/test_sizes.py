@@ -3,8 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from lamella.functions import codecs
 from lamella.operators import dicom, pixels, pyramid, reading
-from lamella.plans import container_queries, geometry_queries, read_queries
+from lamella.plans import container_queries, format_queries, geometry_queries, read_queries, tool_queries
 from lamella.sources import tiff
 
 
@@ -86,3 +87,11 @@ def test_pixels_are_composed_without_a_join_of_pixels(spark):
     out = pixels.compose(canvas, hits, ["id"])
     assert sorted(map(tuple, out.select("id", "px", "py", "v").collect())) == [(1, 0, 0, 8), (1, 0, 1, 0), (1, 1, 0, 0), (1, 1, 1, 9), (2, 0, 0, 0)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_texts_spread_over_tasks(spark, tmp_path):
+    spark.range(0, 40, 1, 1).selectExpr("id as doc_id", "concat('aaaa', id) as text").write.parquet(f"{tmp_path}/documents.parquet")
+    for query, same in ((tool_queries.payload_round_trips, "packbits and lzw and deflate and zstd"), (format_queries.rle_frames, "same")):
+        out = query(spark, str(tmp_path))
+        assert out.rdd.getNumPartitions() > 1 and out.filter(same).count() == 40
+    assert codecs.packbits_encode_bytes(b"ab" + b"c" * 130 + b"dd") == bytes([1, 97, 98, 129, 99, 3]) + b"ccdd"
